@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.balanced import exchange_counts, heavy_keys, key_text
+from quern.operators.orphans import References, find_orphans, orphan_report
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +66,37 @@ def _exchange_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-QUERIES = {"p1_found": p1_found, "p1_heavy_key_sums": p1_heavy_key_sums, "p1_key_counts": p1_key_counts}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    references = [
+        References("sales", table(spark, sf_dir, "sales"), "id", "customer_id", "sold_at"),
+        References("shop_orders", table(spark, sf_dir, "shop_orders"), "order_id", "customer_id", "ordered_at"),
+    ]
+    return find_orphans(references, table(spark, sf_dir, "customers"), "customer_id", "created_at", "deleted_at")
+
+
+def p3_orphans_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphan_report(p3_found(spark, sf_dir))
+
+
+_ORPHANS = " UNION ".join(
+    f"""SELECT '{name}' AS table_name, strftime(r.{time}, '%Y-%m') AS year_month, r.{record} AS record_id FROM {name} r
+    WHERE r.customer_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customers c WHERE c.customer_id = r.customer_id
+    AND c.created_at <= r.{time} AND (c.deleted_at IS NULL OR c.deleted_at > r.{time}))"""
+    for name, record, time in (("sales", "id", "sold_at"), ("shop_orders", "order_id", "ordered_at"))
+)
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_heavy_key_sums": p1_heavy_key_sums,
+    "p1_key_counts": p1_key_counts,
+    "p3_found": p3_found,
+    "p3_orphans_by_month": p3_orphans_by_month,
+}
 
 SQL = {
     "p1_found": f"WITH c AS ({_exchange_sql()}) SELECT exchange_id, key_text FROM c QUALIFY 50 * n >= sum(n) OVER (PARTITION BY exchange_id)",
     "p1_heavy_key_sums": f"WITH c AS ({_exchange_sql()}) SELECT * FROM c QUALIFY 50 * n >= sum(n) OVER (PARTITION BY exchange_id)",
     "p1_key_counts": _exchange_sql(),
+    "p3_found": _ORPHANS,
+    "p3_orphans_by_month": f"SELECT table_name, year_month, count(*) AS orphans FROM ({_ORPHANS}) GROUP BY table_name, year_month",
 }
