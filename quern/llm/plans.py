@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.distinct import count_sets, merge_runs, partial_sets, segment_bits
+from quern.llm.mixing import budgets, mix, positions, share_report
+from quern.llm.packing import fill_report, pack
 from quern.llm.percentiles import day_sketches, merge_sketches, percentiles
+from quern.llm.tokens import token_counts
 from quern.llm.topn import top_n
+from quern.llm.visual import alike_pairs, form_classes, with_forms
 from quern.operators.materialize import materialize
 
 RANKS = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
@@ -68,6 +72,53 @@ def p5_distinct_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_sets(single.unionByName(by_day).unionByName(by_region), keys)
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = materialize(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text").filter("n_tokens > 0"))
+    return pack(sizes, table(spark, sf_dir, "containers"))
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every non-empty text in a container of each kind."""
+    return _packed(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(_packed(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
+    sizes = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", {"source": "source"})
+    sizes = materialize(sizes.filter("n_tokens > 0 AND source IS NOT NULL"))
+    plan = materialize(budgets(sizes, table(spark, sf_dir, "mix_targets"), total_tokens))
+    return mix(materialize(positions(sizes)), plan), plan
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of every mix and how often each is used."""
+    return _mixed(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares, at the largest total at which sources reach theirs."""
+    return share_report(*_mixed(spark, sf_dir))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = materialize(with_forms(table(spark, sf_dir, "documents"), "doc_id", "text", keep_form=False))
+    return alike_pairs(forms).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every text."""
+    return with_forms(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "form")
+
+
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that shows something, with the class of texts that look like its own."""
+    forms = materialize(with_forms(table(spark, sf_dir, "documents"), "doc_id", "text", keep_form=False))
+    return form_classes(forms).withColumnRenamed("id", "doc_id")
+
+
 def _distinct_sql(kind: str, key: str) -> str:
     return f"SELECT '{kind}' AS kind, {key} AS set_key, count(DISTINCT customer_id) AS n_distinct FROM sales WHERE customer_id IS NOT NULL GROUP BY ALL"
 
@@ -81,6 +132,13 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_top_amounts": p4_top_amounts,
     "p5_distinct_customers": p5_distinct_customers,
+    "p6_packed": p6_packed,
+    "p6_fill": p6_fill,
+    "p7_selection": p7_selection,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_forms": p8_forms,
+    "p8_classes": p8_classes,
 }
 
 SQL = {
