@@ -32,6 +32,9 @@ from quern.operators.materialize import materialize
 #: A hot key's surviving records are spread over so many tasks when they meet its parents.
 SALTS = 16
 
+#: Periods that are worked on at a time where a key range is built; bounds the memory of a task.
+PERIOD_BLOCK = 64
+
 #: References without a time and periods without an end are placed here; no parent covers it.
 NO_PERIOD = "none"
 
@@ -107,40 +110,49 @@ def parent_bitmaps(coded: DataFrame, periods: Sequence[tuple[str, int, int]]) ->
     """(code, since, until) -> a container per period and key range of the keys that exist all through the period.
 
     ``since`` and ``until`` are microseconds; ``periods`` has (name, first
-    microsecond, first microsecond after it). A parent row is tested against
-    all periods at once where its range is built, so rows are not multiplied.
+    microsecond, first microsecond after it). A parent row is tested against a
+    block of periods at once where its range is built, so rows are multiplied
+    by the number of blocks only.
     """
+    blocks = [list(periods[i : i + PERIOD_BLOCK]) for i in range(0, len(periods), PERIOD_BLOCK)]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borders, held, bits = Boundaries(), None, None
 
-        def out() -> Iterator[pa.RecordBatch]:
-            full = [i for i in range(len(periods)) if bits[i].any()]
-            yield pa.record_batch(
-                [pa.array([periods[i][0] for i in full], pa.string()), pa.array([held] * len(full), pa.int64()), pa.array([bitmaps.pack_bits(bits[i]) for i in full], pa.binary())],
-                ["period", "range", "bits"],
-            )
+        def out() -> pa.RecordBatch:
+            block, high = held
+            full = [i for i in range(len(blocks[block])) if bits[i].any()]
+            names = pa.array([blocks[block][i][0] for i in full], pa.string())
+            return pa.record_batch([names, pa.array([high] * len(full), pa.int64()), pa.array([bitmaps.pack_bits(bits[i]) for i in full], pa.binary())], ["period", "range", "bits"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ranges = flat(batch.column("range"))
-            starts = borders.starts([ranges])
-            starts[0] = starts[0] or held is None
+            keys = [flat(batch.column(c)) for c in ("block", "range")]
+            starts = borders.starts(keys)
             low, since, until = (flat(batch.column(c)).to_numpy() for c in ("low", "since", "until"))
             cuts = [0, *(a for a in np.flatnonzero(starts) if a), len(low)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if starts[a]:
                     if held is not None:
-                        yield from out()
-                    held, bits = ranges[int(a)].as_py(), np.zeros((len(periods), bitmaps.BITS), dtype=bool)
-                for i, (_, first, end) in enumerate(periods):
+                        yield out()
+                    held = tuple(k[int(a)].as_py() for k in keys)
+                    bits = np.zeros((len(blocks[held[0]]), bitmaps.BITS), dtype=bool)
+                for i, (_, first, end) in enumerate(blocks[held[0]]):
                     bits[i, low[a:b][(since[a:b] <= first) & (until[a:b] >= end)]] = True
         if held is not None:
-            yield from out()
+            yield out()
 
-    placed = coded.select(F.shiftright("code", 16).alias("range"), F.col("code").bitwiseAND(bitmaps.BITS - 1).cast("int").alias("low"), "since", "until")
-    return placed.repartition("range").sortWithinPartitions("range").mapInArrow(build, "period string, range bigint, bits binary")
+    placed = coded.select(
+        F.explode(F.sequence(F.lit(0), F.lit(max(1, len(blocks)) - 1))).alias("block"),
+        F.shiftright("code", 16).alias("range"),
+        F.col("code").bitwiseAND(bitmaps.BITS - 1).cast("int").alias("low"),
+        "since",
+        "until",
+    )
+    if not blocks:
+        placed = placed.limit(0)
+    return placed.repartition("block", "range").sortWithinPartitions("block", "range").mapInArrow(build, "period string, range bigint, bits binary")
 
 
 def surviving_codes(references: DataFrame, parents: DataFrame) -> DataFrame:
