@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import threading
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -75,18 +76,28 @@ class CancellationToken:
         return self._cancelled
 
     def cancel(self) -> None:
+        """May be called from any thread, before or while a query runs."""
         self._cancelled = True
         if self._spark is not None:
-            self._spark.interruptTag(self._tag)
+            threading.Thread(target=self._stop_jobs, daemon=True).start()
+
+    def _stop_jobs(self) -> None:
+        # a query that is still being planned has no job yet, and one may have several
+        while (spark := self._spark) is not None:
+            spark.sparkContext.cancelJobsWithTag(self._tag)
+            time.sleep(0.2)
 
     def _enter(self, spark: SparkSession) -> None:
         if self._cancelled:
             raise CancelledError("the query was cancelled before it began")
         self._spark = spark
-        spark.addTag(self._tag)
+        spark.sparkContext.addJobTag(self._tag)
+        spark.sparkContext.setInterruptOnCancel(True)
 
     def _leave(self, spark: SparkSession) -> None:
-        spark.removeTag(self._tag)
+        self._spark = None
+        spark.sparkContext.removeJobTag(self._tag)
+        spark.sparkContext.setInterruptOnCancel(False)
 
 
 @dataclass
