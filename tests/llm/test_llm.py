@@ -1,0 +1,318 @@
+"""Operators for language-model data against brute force, exact round trips and stated bounds."""
+
+import itertools
+import random
+import unicodedata
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from datetime import datetime
+
+import numpy as np
+import pandas as pd
+import pytest
+from comparing import assert_same, views
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quern.llm import distinct, plans, runs, visual
+from quern.llm.distinct import count_sets, merge_runs, partial_sets, segment_bits
+from quern.llm.mixing import budgets, mix, positions, share_report
+from quern.llm.packing import best_fill, fill_report, pack, patterns
+from quern.llm.percentiles import day_sketches, merge_sketches, percentiles, rank_error
+from quern.llm.tokens import DEFAULT_RANKS, encoder, token_counts
+from quern.llm.topn import top_n
+from quern.llm.visual import alike_pairs, form_classes, visual_form, with_forms
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", plans.SQL)
+def test_query_against_sql(name, spark):
+    assert_same(plans.QUERIES[name](spark, FOLDER), views(FOLDER), plans.SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(plans.QUERIES.keys() - plans.SQL.keys()))
+def test_query_runs(name, spark):
+    assert plans.QUERIES[name](spark, FOLDER).count() > 0
+
+
+# percentiles
+
+
+def test_percentiles_within_the_stated_error(spark):
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame({"g": rng.choice(["hot", "hot", "b", "c"], 40000), "v": np.round(rng.lognormal(3, 2, 40000), 2), "d": datetime(2024, 1, 1) + pd.to_timedelta(rng.integers(0, 20, 40000), unit="D")})
+    rows.loc[rng.choice(40000, 2000, replace=False), "v"] = np.nan
+    df = spark.createDataFrame(rows).repartition(6)
+    k = 200
+    found = percentiles(merge_sketches(day_sketches(df, [F.col("g")], "v", "d", k), ["g"]), {"p50": 0.5, "p90": 0.9, "p99": 0.99}, k).collect()
+    assert {r["g"] for r in found} == {"hot", "b", "c"}
+    for r in found:
+        values = np.sort(rows.loc[rows["g"] == r["g"], "v"].dropna().to_numpy())
+        assert r["n"] == len(values) and r["rank_error"] == rank_error(k)
+        for name, rank in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)):
+            low, high = bisect_left(values, r[name]) / len(values), bisect_right(values, r[name]) / len(values)
+            assert low - 2 * rank_error(k) <= rank <= high + 2 * rank_error(k)
+
+
+def test_small_groups_are_exact_and_any_span_combines(spark):
+    rows = [("a", float(i), datetime(2024, 1, 1 + i % 3)) for i in range(30)] + [("b", 7.0, datetime(2024, 1, 1))] * 3
+    rows += [("a", None, datetime(2024, 1, 1)), ("a", float("nan"), datetime(2024, 1, 1)), (None, 1.0, None), ("only null", None, datetime(2024, 1, 1))]
+    days = day_sketches(spark.createDataFrame(rows, "g string, v double, at timestamp_ntz"), [F.col("g")], "v", "at")
+    of = lambda df: {r["g"]: (r["n"], r["p50"], r["p99"], r["rank_error"]) for r in percentiles(merge_sketches(df, ["g"]), {"p50": 0.5, "p99": 0.99}).collect()}
+    assert of(days) == {"a": (30, 14.0, 29.0, 0.0), "b": (3, 7.0, 7.0, 0.0), None: (1, 1.0, 1.0, 0.0)}
+    first_two = of(days.filter("day <= '2024-01-02'"))
+    assert first_two["a"][:2] == (20, sorted(i for i in range(30) if i % 3 < 2)[9])
+
+
+def test_percentiles_of_integers_and_nothing(spark):
+    df = spark.createDataFrame([("a", 3, datetime(2024, 1, 1))], "g string, v int, at timestamp_ntz")
+    assert percentiles(merge_sketches(day_sketches(df, [F.col("g")], "v", "at"), ["g"]), {"m": 0.5}).collect()[0]["m"] == 3.0
+    assert day_sketches(df.limit(0), [F.col("g")], "v", "at").count() == 0
+
+
+# top n
+
+
+def brute_top(rows, n, largest=True):
+    groups = defaultdict(set)
+    for g, score, i in rows:
+        if score is not None and score == score:
+            groups[g].add((score, i))
+    key = lambda x: (-x[0] if largest else x[0], x[1] is not None, x[1] or 0)
+    return {(g, *x) for g, found in groups.items() for x in sorted(found, key=key)[:n]}
+
+
+@pytest.mark.parametrize("n", [0, 1, 5])
+def test_top_n_against_brute_force(spark, n):
+    rng = random.Random(n)
+    rows = [(rng.choice(["hot"] * 20 + [None, "", *"abcdefgh"]), rng.choice([None, float("nan"), float("inf"), -1.0, 0.0, 1.0, 2.5]), rng.choice([None, *range(40)])) for _ in range(3000)]
+    rows += rows[:500]
+    df = spark.createDataFrame(rows, "g string, score double, id bigint").withColumn("c0", F.lit("clash")).repartition(7)
+    for largest in (True, False):
+        found = [tuple(r) for r in top_n(df, ["g"], "score", "id", n, largest).collect()]
+        assert len(found) == len(set(found)) and set(found) == brute_top(rows, n, largest)
+
+
+def test_top_n_group_over_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = spark.range(500).select(F.lit("g").alias("g"), (F.col("id") % 50).cast("double").alias("s"), F.col("id"))
+        assert [r["id"] for r in top_n(df.union(df), ["g"], "s", "id", 12).orderBy(F.desc("s"), "id").collect()] == [49 + 50 * i for i in range(10)] + [48, 98]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_top_n_without_groups_or_rows(spark):
+    df = spark.createDataFrame([(1, 2), (2, 9), (3, 9)], "id bigint, s int")
+    assert sorted(r["id"] for r in top_n(df, [], "s", "id", 2).collect()) == [2, 3]
+    assert top_n(df.limit(0), ["id"], "s", "id", 2).count() == 0
+
+
+# distinct counts
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=30, unique=True), min_size=1, max_size=8))
+def test_runs_round_trip(sets):
+    sets = [np.sort(np.array(s, dtype=np.uint64)) for s in sets]
+    encoded = runs.encode(np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1])
+    values, counts = runs.decode(encoded)
+    assert counts.tolist() == [len(s) for s in sets]
+    assert values.tolist() == [v for s in sets for v in s.tolist()]
+    part, n = runs.decode(encoded.slice(len(sets) - 1))
+    assert part.tolist() == sets[-1].tolist() and n.tolist() == [len(sets[-1])]
+
+
+def test_runs_are_small_when_dense():
+    values = np.arange(0, 10**7, 100, dtype=np.uint64)
+    assert runs.encode(values, np.array([0])).nbytes < 1.2 * len(values)
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_distinct_counts_merge_to_any_set(spark, monkeypatch, bits):
+    monkeypatch.setattr(distinct, "BATCH_BYTES", 64)
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot"] * 9 + [None, "", "b", "c"]), rng.randrange(6), rng.choice([None, 1, 1, *range(500)])) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "g string, day int, who bigint").withColumn("segment", F.lit("clash")).repartition(5)
+    parts = partial_sets(df, [F.col("g"), F.col("day")], "who", bits)
+    truth = lambda keep: len({w for g, d, w in rows if w is not None and keep(g, d)})
+    cells = {(r["g"], r["day"]): r["n_distinct"] for r in count_sets(parts, ["g", "day"]).collect()}
+    assert cells == {(g, d): truth(lambda a, b, g=g, d=d: (a, b) == (g, d)) for g, d in {(g, d) for g, d, w in rows if w is not None}}
+    by_group = {r["g"]: r["n_distinct"] for r in count_sets(merge_runs(parts, ["g"]), ["g"]).collect()}
+    assert by_group == {g: truth(lambda a, _, g=g: a == g) for g in {r[0] for r in rows}}
+    some = merge_runs(parts.filter("g IN ('b', 'c') AND day < 3").withColumn("all", F.lit(1)), ["all"])
+    row = count_sets(some, ["all"]).collect()[0]
+    n = truth(lambda g, d: g in ("b", "c") and d < 3)
+    assert row["n_distinct"] == n and row["collision_bound"] == n * (n - 1) / 2**65
+
+
+def test_distinct_counts_of_text_and_nothing(spark):
+    df = spark.createDataFrame([("a", "x" * 100_000), ("a", ""), ("a", None)], "g string, who string")
+    assert [tuple(r)[:2] for r in count_sets(partial_sets(df, [F.col("g")], "who", 0), ["g"]).collect()] == [("a", 2)]
+    assert count_sets(partial_sets(df.limit(0), [F.col("g")], "who", 0), ["g"]).count() == 0
+    assert [segment_bits(n) for n in (0, 1 << 20, (1 << 20) + 1, 1 << 24, 1 << 60)] == [0, 0, 1, 4, 20]
+
+
+# packing
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 3), min_size=1, max_size=5), st.integers(0, 60))
+def test_best_fill_is_the_closest(counts, room):
+    chosen = best_fill(sorted(counts), counts, room)
+    assert all(0 < k <= counts[n] for n, k in chosen.items())
+    sums = {sum(n * k for n, k in zip(counts, ks)) for ks in itertools.product(*(range(c + 1) for c in counts.values()))}
+    assert sum(n * k for n, k in chosen.items()) == max(s for s in sums if s <= room)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 100), min_size=1, max_size=60))
+def test_patterns_use_every_length_once(sizes):
+    counts, used = defaultdict(int), defaultdict(int)
+    for n in sizes:
+        counts[n] += 1
+    for fill, times in patterns(counts, 100):
+        assert sum(n * k for n, k in fill.items()) <= 100 and times > 0
+        for n, k in fill.items():
+            used[n] += k * times
+    assert used == counts
+
+
+def test_pack_keeps_texts_whole(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([0, None, 1, 3, 50, 99, 100, 101, 250, 1000, rng.randrange(1, 100)])) for i in range(1500)] + [(None, 5), (1, 7), (1, 7)]
+    sizes = spark.createDataFrame(rows, "id bigint, n_tokens bigint").withColumn("window", F.lit("clash"))
+    kinds = spark.createDataFrame([("a", 100), ("a", 100), ("b", 1000), ("none", None), ("zero", 0)], "container_kind string, capacity_tokens int")
+    packed = pack(sizes, kinds, window_pieces=400).toPandas()
+    for kind, capacity in (("a", 100), ("b", 1000)):
+        part = packed[packed["container_kind"] == kind]
+        assert part.groupby("container_id")["n_tokens"].sum().max() <= capacity
+        assert sorted(map(int, part["n_tokens"])) == sorted(min(capacity, n - at) for _, n in rows if n for at in range(0, n, capacity))
+        assert sorted(part.groupby(part["id"].fillna(-1))["n_tokens"].sum().items()) == sorted(pd.DataFrame(rows, columns=["id", "n"]).assign(id=lambda x: x["id"].fillna(-1)).query("n > 0").groupby("id")["n"].sum().astype(int).items())
+        whole = part[part["piece"] == 0].merge(sizes.toPandas(), on="id")
+        assert len(part) >= len(whole.drop_duplicates("id"))
+    report = {r["container_kind"]: r for r in fill_report(pack(sizes, kinds, 400)).collect()}
+    assert set(report) == {"a", "b"} and report["a"]["fill"] > 0.97 and report["a"]["containers"] >= report["a"]["least_containers"]
+
+
+def test_pack_of_nothing(spark):
+    sizes = spark.createDataFrame([], "id bigint, n_tokens bigint")
+    kinds = spark.createDataFrame([("a", 100)], "container_kind string, capacity_tokens int")
+    assert pack(sizes, kinds).count() == 0 and pack(sizes, kinds.limit(0)).count() == 0
+
+
+def test_token_counts(spark):
+    texts = ["hello world", "", None, "   ", "<|endoftext|>", "多い" * 3000, "hello world"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc bigint, body string").withColumn("id", F.lit("clash"))
+    found = {r["id"]: r["n_tokens"] for r in token_counts(df, "doc", "body").collect()}
+    encode = encoder(DEFAULT_RANKS).encode_ordinary
+    assert found == {i: len(encode(t)) if t else 0 for i, t in enumerate(texts)} and found[3] > 0
+
+
+# mixing
+
+
+def test_positions_are_running_sums_of_a_random_order(spark):
+    rows = [(i, "s" if i % 3 else "t", i % 7) for i in range(400)]
+    found = positions(spark.createDataFrame(rows, "id bigint, source string, n_tokens bigint"), range_texts=30).toPandas()
+    for source, part in found.groupby("source"):
+        part = part.sort_values(["begins", "n_tokens"], kind="stable")
+        ends = (part["begins"] + part["n_tokens"]).to_numpy()
+        assert len(part) == sum(r[1] == source for r in rows) and ends[-1] == part["n_tokens"].sum()
+        moving = part[part["n_tokens"] > 0]
+        assert (moving["begins"].to_numpy()[1:] == (moving["begins"] + moving["n_tokens"]).to_numpy()[:-1]).all()
+        assert moving["id"].tolist() != sorted(moving["id"])
+
+
+@pytest.mark.parametrize("total", [None, 6000])
+def test_mix_reaches_its_shares(spark, total):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["big"] * 8 + ["mid", "mid", "small"]), rng.randrange(1, 30)) for i in range(1200)]
+    held = defaultdict(int)
+    for _, s, n in rows:
+        held[s] += n
+    texts = spark.createDataFrame(rows, "id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame(
+        [("m", "big", 2.0, 1), ("m", "mid", 1.0, None), ("m", "small", 1.0, 2), ("m", "absent", 1.0, 3), ("m", "nothing", 0.0, 1), ("m", "big", float("nan"), 1), ("m", None, 1.0, 1), ("none", "big", None, 1), ("never", "big", 1.0, 0)],
+        "mix_name string, source string, weight double, max_repeats int",
+    )
+    plan = budgets(texts, targets, total)
+    chosen = mix(positions(texts, range_texts=100), plan).toPandas()
+    assert set(chosen["mix_name"]) == {"m"} and not chosen.duplicated(["source", "id"]).any()
+    assert chosen[chosen["source"] == "big"]["uses"].max() <= 1 and chosen[chosen["source"] == "small"]["uses"].max() <= 2
+    report = {(r["mix_name"], r["source"]): r for r in share_report(mix(positions(texts), plan), plan).collect()}
+    assert report["m", "absent"]["in_reach"] is False and report["m", "absent"]["tokens"] == 0
+    assert report["m", "big"]["target_share"] == pytest.approx(0.4) and report["m", "nothing"]["tokens"] == 0
+    assert report["never", "big"]["tokens"] == 0 and report["none", "big"]["tokens"] == 0
+    for r in report.values():
+        assert abs(r["tokens"] - r["budget"]) <= 15
+    if total is None:
+        assert report["m", "big"]["actual_share"] == pytest.approx(0.5, abs=0.01)
+        assert report["m", "small"]["actual_share"] == pytest.approx(0.25, abs=0.01)
+        assert sum(r["budget"] for r in report.values()) <= sum(held.values())
+    else:
+        assert report["m", "small"]["budget"] == min(1200, 2 * held["small"])
+        assert report["m", "small"]["in_reach"] == (2 * held["small"] >= 1200)
+
+
+def test_mix_of_nothing(spark):
+    texts = spark.createDataFrame([], "id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("m", "a", 1.0, 1)], "mix_name string, source string, weight double, max_repeats int")
+    plan = budgets(texts, targets)
+    assert mix(positions(texts), plan).count() == 0
+    assert [(r["budget"], r["in_reach"]) for r in plan.collect()] == [(0, False)]
+
+
+# visual forms
+
+ALIKE = [
+    ("ＡＢＣ １２３", "ABC 123"), ("é", "é"), ("a​b­c﻿", "abc"), ("a b　c d", "a b c d"), ("ﬁne ﬂow", "fine flow"), ("раура1", "paypa1"),
+    ("Τοm", "Tom"), ("ｶﾞｷﾞ", "ガギ"), ("K", "K"), ("가", "가"), ("不", "不"), ("e͏́", "é"), ("well‑made", "well-made"), ("a\r\nb\rc", "a\nb\nc"),
+    ("ё", "ë"), ("ɡo", "go"), ("，。", ",｡"), ("ắ", "ắ"), ("\ttab", " tab"), ("Ⅳ", "IV"),
+]
+UNLIKE = [("A", "a"), ("é", "e"), ("x²", "x2"), ("①", "1"), ("™", "TM"), ("a  b", "a b"), ("a\n\nb", "a\nb"), ("ß", "ss"), ("O", "0"), ("l", "1"), ("!", "¡"), ("й", "и"), ("で", "て"), ("½", "1/2"), ("ſ", "s"), ("´", " ́"), ("ㄱㅏ", "가"), ("п", "n"), ("—", "-")]
+
+
+@pytest.mark.parametrize(("a", "b"), ALIKE)
+def test_alike(a, b):
+    assert a != b and visual_form(a) == visual_form(b)
+
+
+@pytest.mark.parametrize(("a", "b"), UNLIKE)
+def test_unlike(a, b):
+    assert visual_form(a) != visual_form(b)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text())
+def test_form_is_stable_and_ignores_composition(text):
+    form = visual_form(text)
+    assert visual_form(form) == form
+    assert visual_form(unicodedata.normalize("NFD", text)) == form
+
+
+def test_folding_is_an_option():
+    assert visual_form("Straße", fold_case=True) == visual_form("STRASSE", fold_case=True)
+
+
+def test_forms_and_pairs_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(visual, "CHUNK", 3)
+    base = ["hello wörld", "hеllo wörld", "hello wörld", "hello wörld", "Hello wörld", "other", "оther", "", "  ", "​", None, "x" * 200_000, "х" * 200_000]
+    rows = [(i, base[i % len(base)]) for i in range(100)] + [(None, "other"), (5, "other")]
+    df = spark.createDataFrame(rows, "doc bigint, body string").withColumn("form", F.lit("clash"))
+    forms = with_forms(df, "doc", "body", keep_form=False)
+    want = set()
+    for (i, a), (j, b) in itertools.combinations([(i, t) for i, t in rows if i is not None and t is not None], 2):
+        if i != j and a != b and visual_form(a) == visual_form(b) and visual_form(a).strip():
+            want.add((min(i, j), max(i, j)))
+    found = [tuple(r) for r in alike_pairs(forms).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    classes = {r["id"]: (r["class_id"], r["texts"]) for r in form_classes(forms).filter("id IS NOT NULL").collect()}
+    assert classes[1] == (0, 4) and classes[6] == (5, 2) and 7 not in classes and 8 not in classes and 10 not in classes
+    kept = {r["id"]: r["form"] for r in with_forms(df, "doc", "body").collect()}
+    assert kept[10] is None and kept[3] == "hello wörld" and len(kept[12]) == 200_000
+    assert alike_pairs(forms.limit(0)).count() == 0
+
+
