@@ -9,23 +9,29 @@ from pyspark.sql import functions as F
 
 from quern.operators.materialize import materialize
 
-#: A table of at most so many rows is sent to every executor.
-BROADCAST_ROWS = 10_000
+#: A table of at most so many bytes, written as JSON, is sent to every executor.
+BROADCAST_BYTES = 8 << 20
 
 #: Otherwise the rows of one key are spread over so many tasks.
 SALTS = 16
 
 
-def bounded_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str]) -> DataFrame:
-    """Inner join of ``rows`` to ``small`` on columns of the same names.
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether a (written) table is small enough to be sent to every executor; its size is measured."""
+    row = F.octet_length(F.to_json(F.struct(*df.columns))) + 16
+    return (df.agg(F.sum(row.cast("bigint"))).first()[0] or 0) <= BROADCAST_BYTES
 
-    ``small`` is written and counted first. Within the bound it is broadcast;
+
+def bounded_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "inner", written: bool = False) -> DataFrame:
+    """Inner or left semi join of ``rows`` to ``small`` on columns of the same names.
+
+    ``small`` is written (unless it is already) and measured. Within the bound it is broadcast;
     beyond it, each of its rows is copied for every salt and the rows of a key
     are spread by a hash of ``spread_by``, so that no key is one task's work.
     """
-    small = materialize(small)
-    if small.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(small), list(keys))
+    small = small if written else materialize(small)
+    if fits_broadcast(small):
+        return rows.join(F.broadcast(small), list(keys), how)
     salted = rows.withColumn("join_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("join_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "join_salt"]).drop("join_salt")
+    return salted.join(copies, [*keys, "join_salt"], how).drop("join_salt")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import bitmaps
 from quern.operators.arrowruns import Boundaries, flat
+from quern.operators.bounded import bounded_join
 from quern.operators.materialize import materialize
 
 #: A hot key's surviving records are spread over so many tasks when they meet its parents.
@@ -207,11 +208,12 @@ def find_orphans(references: Sequence[References], parents: DataFrame, key: str,
     referring = reference_bitmaps(referred.join(codes, "key"))
     forever = np.iinfo(np.int64).max
     existing = spans.join(codes, "key").select("code", _micros("since").alias("since"), F.coalesce(_micros("until"), F.lit(int(forever))).alias("until"))
-    left_over = surviving_codes(referring, parent_bitmaps(existing, sorted(periods))).join(codes, "code").select("name", "period", "key")
+    left_over = materialize(surviving_codes(referring, parent_bitmaps(existing, sorted(periods))).join(codes, "code").select("name", "period", "key"))
 
-    salted = records.withColumn("salt", F.pmod(F.xxhash64("record", "time"), F.lit(SALTS)).cast("int"))
+    # within the bound, records are filtered by the survivors where they are read
+    suspects = bounded_join(records, left_over, ["name", "period", "key"], ["record", "time"], "left_semi", written=True)
+    suspects = suspects.withColumn("salt", F.pmod(F.xxhash64("record", "time"), F.lit(SALTS)).cast("int"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    suspects = salted.join(left_over.withColumn("salt", salts), ["name", "period", "key", "salt"], "left_semi")
     suspects = suspects.select("name", "period", "record", "key", "salt", "time").distinct()
     # only parents of suspects take part, so that salting multiplies few rows
     near = spans.join(left_over.select("key").distinct(), "key", "left_semi").withColumn("salt", salts)

@@ -98,7 +98,7 @@ def test_bounded_join_both_ways(spark, monkeypatch):
     rows, small = spark.createDataFrame([(i, i % 3) for i in range(50)], "id bigint, k bigint"), spark.createDataFrame([(0, "x"), (1, "y")], "k bigint, name string")
     want = sorted((i % 3, i, "xy"[i % 3]) for i in range(50) if i % 3 < 2)
     assert sorted(map(tuple, bounded_join(rows, small, ["k"], ["id"]).select("k", "id", "name").collect())) == want
-    monkeypatch.setattr("quern.operators.bounded.BROADCAST_ROWS", 1)
+    monkeypatch.setattr("quern.operators.bounded.BROADCAST_BYTES", 1)
     assert sorted(map(tuple, bounded_join(rows, small, ["k"], ["id"]).select("k", "id", "name").collect())) == want
 
 
@@ -123,9 +123,10 @@ def brute(refs, parents):
     return out
 
 
-@pytest.mark.parametrize("block", [64, 2])
-def test_orphans_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "sent"), [(64, 1 << 20), (2, 0)])
+def test_orphans_against_brute_force(spark, monkeypatch, block, sent):
     monkeypatch.setattr(orphans, "PERIOD_BLOCK", block)
+    monkeypatch.setattr("quern.operators.bounded.BROADCAST_BYTES", sent)
     rng = random.Random(3)
     parents = []
     for key in [*range(1, 40), *range(1, 20)]:
