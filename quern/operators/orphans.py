@@ -16,6 +16,7 @@ of survivors, never all records; a key with a third of all rows is one bit.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -199,10 +200,10 @@ def find_orphans(references: Sequence[References], parents: DataFrame, key: str,
     spans = parents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{since}`").alias("since"), F.col(f"`{until}`").alias("until")).filter("key IS NOT NULL AND since IS NOT NULL").distinct()
 
     referred = materialize(records.select("name", "period", "key").distinct())
-    codes = materialize(dense_codes(referred.select("key").unionByName(spans.select("key"))))
+    codes = dense_codes(referred.select("key").unionByName(spans.select("key")))
     periods = []
     for (name,) in referred.select("period").distinct().collect():  # one row a month
-        if name != NO_PERIOD:
+        if re.fullmatch(r"\d{4}-\d\d", name):  # other periods get no parent bitmap: all their keys go to the exact check
             first = np.datetime64(name, "M")
             periods.append((name, *(int(m.astype("datetime64[us]").astype(np.int64)) for m in (first, first + 1))))
     referring = reference_bitmaps(referred.join(codes, "key"))

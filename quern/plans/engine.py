@@ -143,6 +143,15 @@ _built(
 )
 
 
+def _exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = _Lazy(spark, sf_dir).table("keyed").exchange(12, "category", "code").project("category", "code").to_df()
+    return placed.withColumn("place", F.spark_partition_id()).groupBy("category", "code").agg(F.count_distinct("place").alias("places"), F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["hash_exchange"] = _exchange
+SQL["hash_exchange"] = "SELECT category, code, 1::BIGINT AS places, count(*) AS n FROM keyed GROUP BY category, code"
+
+
 def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = _Lazy(spark, sf_dir)
     session.register_memory("a", [(1, 10), (1, 11), (2, None), (None, 30)], "id bigint, value bigint", 2)

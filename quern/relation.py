@@ -160,3 +160,11 @@ class Relation:
         frame = left_frame.join(right_frame, reduce(lambda p, q: p & q, conditions), how)
         pairs = ", ".join(f"{a} = {b}" for a, b in zip(left_keys, right_keys, strict=True))
         return Relation(frame, [*self.fields, *named], f"{how.capitalize()} join: {pairs}", [self, right])
+
+    def exchange(self, partitions: int, *keys: Expr | str) -> Relation:
+        """Rows placed by a hash of the keys in so many partitions (some may be empty); equal keys, NULL included, meet in one."""
+        if partitions < 1 or not keys:
+            raise PlanningError("an exchange needs keys and at least one partition")
+        columns = [self.scope.lower(Col(k) if isinstance(k, str) else k).column for k in keys]
+        text = f"Hash exchange: {partitions} by {', '.join(map(str, keys))}"
+        return Relation(self.frame.repartition(partitions, *columns), self.fields, text, [self])

@@ -9,10 +9,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import bitmaps, orphans
+from quern.operators import balanced, bitmaps, orphans
 from quern.operators.arrowruns import Boundaries
 from quern.operators.balanced import balanced_group_by, exchange_counts, heavy_keys
 from quern.operators.bounded import bounded_join
+from quern.operators.materialize import materialize
 from quern.operators.orphans import References, dense_codes, find_orphans, orphan_report
 
 
@@ -61,7 +62,11 @@ def test_balanced_group_by_on_skewed_keys(spark):
 def test_balanced_one_key_over_many_partitions(spark, monkeypatch):
     monkeypatch.setattr("quern.operators.balanced.CHUNK_ROWS", 10)
     df = spark.range(5000).select(F.lit("only").alias("k"), F.lit(1.0).alias("v")).repartition(8)
+    written = []
+    monkeypatch.setattr(balanced, "materialize", lambda frame: written.append(materialize(frame)) or written[0])
     assert [tuple(r) for r in balanced_group_by(df, ["k"], "v", 8).collect()] == [("only", 5000, 5000.0)]
+    parts = sorted(r["n"] for r in written[0].filter("edge").collect())
+    assert len(parts) >= 5 and parts[-1] < 2500  # the one key is spread, and no task has most of it
 
 
 def test_balanced_key_types(spark):
@@ -138,6 +143,7 @@ def test_orphans_against_brute_force(spark, monkeypatch, block, sent):
         at = DAY + timedelta(hours=rng.randrange(-2000, 2000))
         refs.append((i, rng.choice([None, 7, 7, *range(1, 50)]), rng.choice([at] * 9 + [None]), "x", "y", 0))
     refs += refs[:50]
+    refs.append((2000, 900, datetime(9999, 12, 31), "", "", 0))
     # times on the borders of a month and of a parent's span
     parents.append((900, datetime(2024, 4, 1), datetime(2024, 5, 1)))
     refs += [(1000, 900, datetime(2024, 4, 1), "", "", 0), (1001, 900, datetime(2024, 5, 1), "", "", 0), (1002, 900, datetime(2024, 4, 30, 23, 59, 59, 999999), "", "", 0), (1003, 900, datetime(2024, 3, 31, 23, 59, 59, 999999), "", "", 0)]
