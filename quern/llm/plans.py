@@ -86,11 +86,12 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(_packed(spark, sf_dir))
 
 
-def _mixed(spark: SparkSession, sf_dir: str, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The selection, the plan it follows, and the sizes of all texts."""
     sizes = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", {"source": "source"})
     sizes = materialize(sizes.filter("n_tokens > 0 AND source IS NOT NULL"))
     plan = materialize(budgets(sizes, table(spark, sf_dir, "mix_targets"), total_tokens))
-    return mix(materialize(positions(sizes)), plan), plan
+    return mix(materialize(positions(sizes)), plan), plan, sizes
 
 
 def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +101,7 @@ def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual shares, at the largest total at which sources reach theirs."""
-    return share_report(*_mixed(spark, sf_dir))
+    return share_report(*_mixed(spark, sf_dir)[:2])
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +120,48 @@ def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return form_classes(forms).withColumnRenamed("id", "doc_id")
 
 
+def p6_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind: texts placed, those not placed whole and once, containers that hold too much, and whether the space left is small."""
+    sizes = materialize(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text").filter("n_tokens > 0"))
+    packed = materialize(pack(sizes, table(spark, sf_dir, "containers")))
+    kind = ["container_kind", "capacity_tokens"]
+    fills = packed.groupBy(*kind, "container_id").agg(F.sum("n_tokens").alias("held"))
+    containers = fills.groupBy(*kind).agg(
+        F.sum((F.col("held") > F.col("capacity_tokens")).cast("bigint")).alias("overfull"), (F.sum("held") >= 0.9 * F.sum("capacity_tokens") - F.first("capacity_tokens")).alias("tight")
+    )
+    texts = packed.groupBy(*kind, "id").agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("pieces"))
+    split = F.col("pieces") != F.ceil(F.col("n_tokens") / F.col("capacity_tokens"))
+    whole = texts.join(sizes, "id").groupBy(*kind).agg(F.count(F.lit(1)).alias("texts"), F.sum((split | (F.col("placed") != F.col("n_tokens"))).cast("bigint")).alias("misplaced"))
+    return containers.join(whole, kind).select("container_kind", "texts", "misplaced", "overfull", "tight")
+
+
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per mix: sources with a weight that have texts, those that have none, texts used too often, and whether budgets are met to within a text."""
+    selection, plan, sizes = _mixed(spark, sf_dir)
+    selection = materialize(selection)
+    used = selection.join(plan.select("mix_name", "source", "max_repeats"), ["mix_name", "source"]).groupBy("mix_name", "source").agg(
+        F.sum((F.col("uses") > F.col("max_repeats")).cast("bigint")).alias("over_used")
+    )
+    longest = sizes.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    report = share_report(selection, plan).join(used, ["mix_name", "source"], "left").join(longest, "source", "left")
+    wanted = F.col("target_share") > 0
+    return report.groupBy("mix_name").agg(
+        F.sum((wanted & F.col("longest").isNotNull()).cast("bigint")).alias("sources"),
+        F.sum((wanted & F.col("longest").isNull()).cast("bigint")).alias("without_texts"),
+        F.coalesce(F.sum("over_used"), F.lit(0)).alias("over_used"),
+        F.bool_and(F.abs(F.col("tokens") - F.col("budget")) <= F.coalesce("longest", F.lit(0))).alias("budgets_met"),
+    )
+
+
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language: texts, and those whose form changes when it is formed again (none should)."""
+    docs = table(spark, sf_dir, "documents")
+    once = materialize(with_forms(docs.filter("text IS NOT NULL"), "doc_id", "text").select("id", "form"))
+    again = with_forms(once, "id", "form").select("id", F.col("form").alias("again"))
+    both = docs.select("doc_id", "lang").join(once, F.col("doc_id") == once.id).drop("id").join(again, F.col("doc_id") == again.id)
+    return both.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum((F.col("form") != F.col("again")).cast("bigint")).alias("unstable"))
+
+
 def _distinct_sql(kind: str, key: str) -> str:
     return f"SELECT '{kind}' AS kind, {key} AS set_key, count(DISTINCT customer_id) AS n_distinct FROM sales WHERE customer_id IS NOT NULL GROUP BY ALL"
 
@@ -134,16 +177,26 @@ QUERIES = {
     "p5_distinct_customers": p5_distinct_customers,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
+    "p6_check": p6_check,
     "p7_selection": p7_selection,
     "p7_shares": p7_shares,
+    "p7_check": p7_check,
     "p8_found": p8_found,
     "p8_forms": p8_forms,
     "p8_classes": p8_classes,
+    "p8_check": p8_check,
 }
 
 SQL = {
     "p2_rank_check": """SELECT region, count(*) AS n, true AS complete, true AS p50_within, true AS p90_within, true AS p99_within
         FROM sales WHERE amount IS NOT NULL AND NOT isnan(amount) GROUP BY region""",
+    "p6_check": """SELECT container_kind, (SELECT count(*) FROM documents WHERE length(text) > 0) AS texts, 0::BIGINT AS misplaced,
+        0::BIGINT AS overfull, true AS tight FROM containers""",
+    "p7_check": """WITH t AS (SELECT DISTINCT source FROM documents WHERE length(text) > 0)
+        SELECT m.mix_name, count(*) FILTER (WHERE weight > 0 AND t.source IS NOT NULL) AS sources,
+        count(*) FILTER (WHERE weight > 0 AND t.source IS NULL) AS without_texts, 0::BIGINT AS over_used, true AS budgets_met
+        FROM mix_targets m LEFT JOIN t ON m.source = t.source GROUP BY m.mix_name""",
+    "p8_check": "SELECT lang, count(*) AS texts, 0::BIGINT AS unstable FROM documents WHERE text IS NOT NULL GROUP BY lang",
     "p4_found": f"SELECT region, id FROM ({_TOP})",
     "p4_top_amounts": _TOP,
     "p5_distinct_customers": "SELECT *, CAST(n_distinct AS DOUBLE) * (n_distinct - 1) / 36893488147419103232.0::DOUBLE AS collision_bound FROM ("
