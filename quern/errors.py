@@ -9,6 +9,10 @@ class PlanningError(QuernError):
     """The query can't be given a meaning: unknown or ambiguous names, types that do not fit."""
 
 
+class AmbiguousNameError(PlanningError):
+    """A name fits more than one column."""
+
+
 class UnsupportedError(QuernError):
     """The query is valid SQL but outside the accepted subset."""
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.errors import PlanningError, UnsupportedError
+from quern.errors import AmbiguousNameError, PlanningError, UnsupportedError
 from quern.functions import aggregates
 from quern.functions.arithmetic import arithmetic, lenient_cast, widened
 from quern.types import SPARK_TYPES, Kind, common_numeric, require_numeric
@@ -259,21 +259,21 @@ class Scope:
         if not found and not (qualifier and any(f.qualifier for f in self.fields)):
             found = [f for f in self.fields if f.name == name]
         if len(found) > 1:
-            raise PlanningError(f"column '{path}' is ambiguous; qualify it with a table name or alias")
+            raise AmbiguousNameError(f"more than one column is called {path}; say which table is meant")
         if not found:
-            raise PlanningError(f"column '{path}' does not exist")
+            raise PlanningError(f"no column is called {path}")
         return found[0]
 
     def knows(self, expr: Expr) -> bool:
-        """Whether every column of the expression is found here (one that is ambiguous raises)."""
-        for x in expr.walk():
-            if isinstance(x, Col):
-                try:
+        """Whether every column of the expression is found here; one that fits several raises."""
+        try:
+            for x in expr.walk():
+                if isinstance(x, Col):
                     self.find(x.path)
-                except PlanningError as error:
-                    if "ambiguous" in str(error):
-                        raise
-                    return False
+        except AmbiguousNameError:
+            raise
+        except PlanningError:
+            return False
         return True
 
     def lower(self, expr: Expr) -> Typed:
@@ -287,7 +287,7 @@ class Scope:
             case Lit(value):
                 kind = expr.kind()
                 if kind is Kind.INT64 and not -(1 << 63) <= value < 1 << 63:
-                    raise PlanningError(f"invalid integer literal {value}")
+                    raise PlanningError(f"{value} does not fit in 64 bits")
                 column = F.lit(value)
                 return Typed(column if kind is Kind.NULL else column.cast(SPARK_TYPES[kind]), kind, SPARK_TYPES[kind])
             case NullTest(inner, negated):
@@ -310,13 +310,13 @@ class Scope:
         kinds = left.kind, right.kind
         if op in LOGICAL:
             if not set(kinds) <= {Kind.BOOLEAN, Kind.NULL}:
-                raise PlanningError(f"{op} requires Boolean operands, got {kinds[0].value} and {kinds[1].value}")
+                raise PlanningError(f"{op} joins truth values, not {kinds[0].value} and {kinds[1].value}")
             a, b = (widened(x.column, Kind.BOOLEAN) for x in (left, right))
             return _of(a & b if op == "AND" else a | b, Kind.BOOLEAN)
         common = common_numeric(*kinds)
         if op in ARITHMETIC:
             if common is None:
-                raise PlanningError(f"{op} requires numeric operands, got {kinds[0].value} and {kinds[1].value}")
+                raise PlanningError(f"{op} can't be worked out for {kinds[0].value} and {kinds[1].value}")
             return _of(arithmetic(op, widened(left.column, common), widened(right.column, common), common), common)
         if op not in COMPARISONS:
             raise UnsupportedError(f"operator {op}")
@@ -325,9 +325,9 @@ class Scope:
             return _of(F.lit(None).cast("boolean"), Kind.BOOLEAN)
         if kinds[0] is kinds[1]:
             if kinds[0] is Kind.OTHER and left.spark != right.spark:
-                raise PlanningError(f"cannot compare {left.spark.simpleString()} and {right.spark.simpleString()}")
+                raise PlanningError(f"{left.spark.simpleString()} and {right.spark.simpleString()} can't be compared")
         elif common is None:
-            raise PlanningError(f"cannot compare {kinds[0].value} and {kinds[1].value}")
+            raise PlanningError(f"{kinds[0].value} and {kinds[1].value} can't be compared")
         else:
             a, b = widened(a, common), widened(b, common)
         return _of({"=": a == b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op], Kind.BOOLEAN)
@@ -336,7 +336,7 @@ class Scope:
         """An aggregate, by itself or under an alias."""
         found = expr.bare()
         if not isinstance(found, Agg):
-            raise UnsupportedError(f"aggregate expressions must be directly projected; got {expr}")
+            raise UnsupportedError(f"an aggregate must stand alone as an item, unlike in {expr}")
         if found.function not in AGGREGATES:
             raise UnsupportedError(f"function {found.function}")
         if isinstance(found.expr, Star):

@@ -87,13 +87,13 @@ class Relation:
             raise PlanningError("a projection needs at least one expression")
         fields = self._made(items)
         frame = self.frame.select(*(x.column.alias(f.inner) for f, (_, x) in zip(fields, items, strict=True)))
-        return Relation(frame, fields, "Projection: " + ", ".join(map(str, exprs)), [self])
+        return Relation(frame, fields, "Select: " + ", ".join(map(str, exprs)), [self])
 
     def filter(self, predicate: Expr) -> Relation:
         """Rows for which the predicate is true; NULL is not."""
         found = self.scope.lower(predicate)
         if found.kind is not Kind.BOOLEAN:
-            raise PlanningError(f"a filter must be Boolean, got {found.kind.value}")
+            raise PlanningError(f"a filter needs a truth value, not {found.kind.value}")
         return Relation(self.frame.filter(found.column), self.fields, f"Filter: {predicate}", [self])
 
     def aggregate(self, keys: Sequence[Expr | str], aggregates: Sequence[Expr]) -> Relation:
@@ -115,7 +115,7 @@ class Relation:
         else:
             frame = sources.select(*made).distinct()
         frame = frame.select(*(F.col(m).alias(f.inner) for m, f in zip(made, fields, strict=False)), *(F.col(f.inner) for f in fields[len(keys) :]))
-        text = f"Aggregate: groupBy=[{', '.join(map(str, keys))}], aggr=[{', '.join(map(str, aggregates))}]"
+        text = f"Group by ({', '.join(map(str, keys))}) computing ({', '.join(map(str, aggregates))})"
         return Relation(frame, fields, text, [self])
 
     def sort(self, *keys: SortKey | Expr | str) -> Relation:
@@ -134,7 +134,7 @@ class Relation:
 
     def limit(self, rows: int) -> Relation:
         if isinstance(rows, bool) or not isinstance(rows, int) or rows < 0:
-            raise PlanningError("LIMIT must be a non-negative integer")
+            raise PlanningError("a limit is a whole number from 0 on")
         # Spark counts a limit in 32 bits; no result of more rows is handed out at once
         return Relation(self.frame.limit(min(rows, (1 << 31) - 1)), self.fields, f"Limit: {rows}", [self])
 

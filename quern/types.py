@@ -66,7 +66,7 @@ def cast_target(spelling: str) -> Kind:
     try:
         return CAST_TARGETS[" ".join(spelling.upper().split())]
     except KeyError:
-        raise UnsupportedError(f"CAST target type {spelling}") from None
+        raise UnsupportedError(f"casting to {spelling}") from None
 
 
 def kind_of(field: T.StructField) -> Kind:
@@ -105,4 +105,4 @@ def common_numeric(left: Kind, right: Kind) -> Kind | None:
 
 def require_numeric(what: str, kind: Kind) -> None:
     if kind not in NUMERIC:
-        raise PlanningError(f"{what} requires a numeric argument, got {kind.value}")
+        raise PlanningError(f"{what} is for numbers, not {kind.value}")

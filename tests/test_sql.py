@@ -5,7 +5,7 @@ import math
 import pyarrow as pa
 import pytest
 
-from quern.errors import ExecutionError, NotFoundError, PlanningError, UnsupportedError
+from quern.errors import AmbiguousNameError, ExecutionError, NotFoundError, PlanningError, UnsupportedError
 
 
 @pytest.fixture
@@ -92,17 +92,17 @@ def test_join_star_renames_clashes(db):
 
 def test_names(db):
     assert db.execute_sql("SELECT Sales.id, amount FROM Sales LIMIT 1").columns == ["id", "amount"]
-    with pytest.raises(PlanningError, match="ambiguous"):
+    with pytest.raises(AmbiguousNameError):
         db.sql("SELECT id FROM sales s JOIN other o ON s.customer_id = o.customer_id")
-    with pytest.raises(PlanningError, match="ambiguous"):
+    with pytest.raises(AmbiguousNameError):
         db.sql("SELECT s.id FROM sales s JOIN other o ON customer_id = o.customer_id")
-    with pytest.raises(PlanningError, match="more than once"):
+    with pytest.raises(PlanningError, match="both tables"):
         db.sql("SELECT id FROM sales JOIN sales ON id = id")
-    with pytest.raises(PlanningError, match="does not exist"):
+    with pytest.raises(PlanningError, match="no column"):
         db.sql("SELECT ID FROM sales")
-    with pytest.raises(PlanningError, match="does not exist"):
+    with pytest.raises(PlanningError, match="no column"):
         db.sql("SELECT sales.id FROM sales AS s")
-    with pytest.raises(PlanningError, match="opposite"):
+    with pytest.raises(PlanningError, match="same table"):
         db.sql("SELECT s.id FROM sales s JOIN other o ON s.id = s.customer_id")
     with pytest.raises(NotFoundError):
         db.sql("SELECT 1 AS x FROM nowhere")
@@ -136,6 +136,9 @@ def test_result_types(db):
 def test_integer_sums_do_not_overflow(db):
     db.register_memory("big", [(2**62,), (2**62,), (2**62,)], "x bigint")
     assert run(db, "SELECT SUM(x) AS s, SUM(DISTINCT x) AS d FROM big") == [(3 * 2.0**62, 2.0**62)]
+    values = [2**63 - 1, -(2**63), -(2**63), 2**53 + 1, -1, 1 << 44, -(1 << 22), 0, None]
+    db.register_memory("wide", [(v,) for v in values], "x bigint", 3)
+    assert run(db, "SELECT SUM(x) AS s FROM wide") == [(float(sum(v for v in values if v is not None)),)]
 
 
 def test_casts(db):
