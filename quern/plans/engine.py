@@ -77,7 +77,7 @@ _add("kleene", "SELECT row_id, code > 5 OR category = 'a' AS either, code > 5 AN
 _add("where_or_literal_null", "SELECT COUNT(*) AS n FROM sales WHERE active OR NULL", "SELECT count(*) AS n FROM sales WHERE active OR NULL::BOOLEAN")
 _add("compare_int_float", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber >= l_quantity")
 _add("compare_timestamps", "SELECT id, sold_at, loaded_at > sold_at AS late FROM sales")
-_add("literals", "SELECT r_regionkey, 1 AS i, 1.5 AS f, 'it''s' AS s, TRUE AS t, NULL AS nothing FROM region", "SELECT r_regionkey, 1::BIGINT AS i, 1.5::DOUBLE AS f, 'it''s' AS s, true AS t, NULL AS nothing FROM region")
+_add("literals", "SELECT r_regionkey, 1 AS i, 1.5 AS f, 'it''s' AS s, TRUE AS t, CAST(NULL AS BIGINT) AS nothing FROM region", "SELECT r_regionkey, 1::BIGINT AS i, 1.5::DOUBLE AS f, 'it''s' AS s, true AS t, NULL::BIGINT AS nothing FROM region")
 _add("filter_sort_limit", "SELECT id, amount FROM sales WHERE amount >= 22 ORDER BY amount DESC, id LIMIT 30", "SELECT id, amount FROM sales WHERE amount >= 22 ORDER BY amount DESC NULLS FIRST, id LIMIT 30")
 # arithmetic and casts
 _add("int_arithmetic", "SELECT p_partkey, p_size + 1 AS a, p_size - 100 AS s, p_size * p_size AS m FROM part", "SELECT p_partkey, p_size::BIGINT + 1 AS a, p_size::BIGINT - 100 AS s, p_size::BIGINT * p_size AS m FROM part")

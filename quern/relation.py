@@ -135,8 +135,9 @@ class Relation:
     def limit(self, rows: int) -> Relation:
         if isinstance(rows, bool) or not isinstance(rows, int) or rows < 0:
             raise PlanningError("a limit is a whole number from 0 on")
-        # Spark counts a limit in 32 bits; no result of more rows is handed out at once
-        return Relation(self.frame.limit(min(rows, (1 << 31) - 1)), self.fields, f"Limit: {rows}", [self])
+        if rows >= 1 << 31:  # Spark counts a limit in 32 bits
+            raise UnsupportedError(f"a limit of {rows} rows")
+        return Relation(self.frame.limit(rows), self.fields, f"Limit: {rows}", [self])
 
     def join(self, right: Relation, how: str, left_on: Sequence[Expr | str], right_on: Sequence[Expr | str]) -> Relation:
         """Inner or left equi-join on one or more key pairs of identical kinds; NULL keys never match."""

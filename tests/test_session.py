@@ -166,6 +166,8 @@ def test_relations(session):
     for bad in (lambda: s.limit(-1), lambda: s.join(s, "inner", [], []), lambda: s.project(), lambda: s.sort()):
         with pytest.raises(PlanningError):
             bad()
+    with pytest.raises(UnsupportedError):
+        s.limit(1 << 31)
     with pytest.raises(UnsupportedError):
         s.join(s, "full", ["id"], ["id"])
 
