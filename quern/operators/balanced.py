@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from quern.operators.arrowruns import Boundaries, flat
 from quern.operators.materialize import materialize
+from quern.operators.sizing import partitions_for, source_bytes
 
 #: Rows that one task combines at a time; bounds the memory of the first pass.
 CHUNK_ROWS = 1 << 18
@@ -178,9 +179,13 @@ def balanced_states(inputs: Sequence[Input], partitions: int | None = None) -> D
     n_values, total (NULL where the key has no value; NaN where it has a NaN).
     The merged states are written to the shared folder once, since they are
     read twice: keys inside a partition are complete, edges are stitched.
+    Without ``partitions`` their number follows from the inputs' sizes, each
+    counted for every grouping, so that a task's share does not grow with them.
     """
-    states = None
+    states, size = None, 0
     for x in inputs:
+        own = source_bytes(x.df)
+        size = None if own is None or size is None else size + own * len(x.groupings)
         used = list(dict.fromkeys(c for keys in x.groupings.values() for c in keys))
         positions = {label: [used.index(c) for c in keys] for label, keys in x.groupings.items()}
         columns = [_plain(x.df, c, f"k{i}") for i, c in enumerate(used)]
@@ -193,7 +198,7 @@ def balanced_states(inputs: Sequence[Input], partitions: int | None = None) -> D
     if states is None:
         raise ValueError("balanced_states needs an input")
     order = ["grouping", "key", "ord"]
-    spread = states.repartitionByRange(partitions, *order) if partitions else states.repartitionByRange(*order)
+    spread = states.repartitionByRange(partitions or partitions_for(states.sparkSession, size), *order)
     merged = materialize(spread.sortWithinPartitions(*order).mapInArrow(_merge, MERGED))
     inner = merged.filter(~F.col("edge")).drop("edge")
     stitched = merged.filter("edge").groupBy("grouping", "key").agg(F.sum("n").alias("n"), F.sum("n_values").alias("n_values"), F.sum("total").alias("total"))

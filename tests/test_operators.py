@@ -14,6 +14,7 @@ from quern.operators.arrowruns import Boundaries
 from quern.operators.balanced import balanced_group_by, exchange_counts, heavy_keys
 from quern.operators.bounded import bounded_join
 from quern.operators.materialize import materialize
+from quern.operators.sizing import advisory_bytes, partitions_for, source_bytes
 from quern.operators.orphans import References, dense_codes, find_orphans, orphan_report
 
 
@@ -69,6 +70,14 @@ def test_balanced_one_key_over_many_partitions(spark, monkeypatch):
     assert len(parts) >= 5 and parts[-1] < 2500  # the one key is spread, and no task has most of it
 
 
+def test_partitions_follow_the_size(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    size = source_bytes(spark.read.parquet(str(tmp_path / "t")).filter("id > 5"))
+    assert 1000 < size < 100_000
+    assert partitions_for(spark, None) == partitions_for(spark, size) == 4
+    assert partitions_for(spark, 100 * advisory_bytes(spark)) == 100
+
+
 def test_balanced_key_types(spark):
     df = spark.sql("SELECT * FROM VALUES (0.0D, true, date'2024-01-01', 1.50BD, array(1), X'00FF'), (-0.0D, true, date'2024-01-01', 1.50BD, array(1), X'00FF'), (NULL, NULL, NULL, NULL, NULL, NULL), (double('nan'), false, date'2024-01-02', 2.00BD, array(2), X'01') AS t(f, b, d, e, a, x)")
     found = balanced_group_by(df, df.columns)
