@@ -255,6 +255,10 @@ def exchange_counts(spark: SparkSession, exchanges: DataFrame, table: Callable[[
 
 
 def heavy_keys(counts: DataFrame, share: int = 50) -> DataFrame:
-    """Keys with at least one ``share``-th of their exchange's rows, over all rows of it."""
+    """Keys with at least one ``share``-th of their exchange's rows, over all rows of it.
+
+    The totals are broadcast: they have one row for each planned exchange, and
+    a shuffle on so few keys would put all counts into a few tasks.
+    """
     totals = counts.groupBy("exchange_id").agg(F.sum("n").alias("rows"))
-    return counts.join(totals, "exchange_id").filter(F.col("n") * share >= F.col("rows")).select("exchange_id", key_text(F.col("key")).alias("key_text"), "n", "total")
+    return counts.join(F.broadcast(totals), "exchange_id").filter(F.col("n") * share >= F.col("rows")).select("exchange_id", key_text(F.col("key")).alias("key_text"), "n", "total")
