@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators import bitmaps
@@ -111,8 +111,8 @@ def reference_bitmaps(coded: DataFrame) -> DataFrame:
 def parent_bitmaps(coded: DataFrame, periods: Sequence[tuple[str, int, int]]) -> DataFrame:
     """(code, since, until) -> a container per period and key range of the keys that exist all through the period.
 
-    ``since`` and ``until`` are microseconds; ``periods`` has (name, first
-    microsecond, first microsecond after it). A parent row is tested against a
+    ``since`` and ``until`` number months; ``periods`` has (name, its month,
+    the month after it). A parent row is tested against a
     block of periods at once where its range is built, so rows are multiplied
     by the number of blocks only.
     """
@@ -171,9 +171,20 @@ def surviving_codes(references: DataFrame, parents: DataFrame) -> DataFrame:
     return pairs.select("name", "period", "range", "bits", "parent_bits").mapInArrow(decode, "name string, period string, code bigint")
 
 
-def _micros(column: str) -> Column:
-    """Microseconds since 1970 by the wall clock, whatever the session's time zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(column).cast("timestamp_ntz"))
+def _month(at: Column) -> Column:
+    """Months since year 0."""
+    return (F.year(at) * 12 + F.month(at) - 1).cast("bigint")
+
+
+def _whole_months(spans: DataFrame) -> DataFrame:
+    """Spans cut to the whole months they cover, each once: key, since (first month), until (first month no longer covered).
+
+    A key has few of them, however many parent rows it has.
+    """
+    begins = F.make_timestamp_ntz(F.year("since"), F.month("since"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) == F.col("since").cast("timestamp_ntz")
+    first = _month(F.col("since")) + F.when(begins, 0).otherwise(1)
+    end = F.coalesce(_month(F.col("until")), F.lit(1 << 40))
+    return spans.select("key", first.alias("since"), end.alias("until")).filter("since < until").distinct()
 
 
 def find_orphans(references: Sequence[References], parents: DataFrame, key: str, since: str, until: str) -> DataFrame:
@@ -204,11 +215,10 @@ def find_orphans(references: Sequence[References], parents: DataFrame, key: str,
     periods = []
     for (name,) in referred.select("period").distinct().collect():  # one row a month
         if re.fullmatch(r"\d{4}-\d\d", name):  # other periods get no parent bitmap: all their keys go to the exact check
-            first = np.datetime64(name, "M")
-            periods.append((name, *(int(m.astype("datetime64[us]").astype(np.int64)) for m in (first, first + 1))))
+            month = int(name[:4]) * 12 + int(name[5:]) - 1
+            periods.append((name, month, month + 1))
     referring = reference_bitmaps(referred.join(codes, "key"))
-    forever = np.iinfo(np.int64).max
-    existing = spans.join(codes, "key").select("code", _micros("since").alias("since"), F.coalesce(_micros("until"), F.lit(int(forever))).alias("until"))
+    existing = _whole_months(spans).join(codes, "key").select("code", "since", "until")
     left_over = materialize(surviving_codes(referring, parent_bitmaps(existing, sorted(periods))).join(codes, "code").select("name", "period", "key"))
 
     # within the bound, records are filtered by the survivors where they are read
@@ -217,10 +227,13 @@ def find_orphans(references: Sequence[References], parents: DataFrame, key: str,
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     suspects = suspects.select("name", "period", "record", "key", "salt", "time").distinct()
     # only parents of suspects take part, so that salting multiplies few rows
-    near = spans.join(left_over.select("key").distinct(), "key", "left_semi").withColumn("salt", salts)
-    s, p = suspects.alias("s"), near.alias("p")
-    exists = (F.col("s.key") == F.col("p.key")) & (F.col("s.salt") == F.col("p.salt")) & (F.col("p.since") <= F.col("s.time")) & (F.col("p.until").isNull() | (F.col("p.until") > F.col("s.time")))
-    orphans = s.join(p, exists, "left_anti")
+    near = bounded_join(spans, left_over.select("key").distinct(), ["key"], ["since", "until"], "left_semi").withColumn("salt", salts)
+    # in order of time, a record has a parent if one that began by then lasts longer; linear for any number of rows a key
+    parent = near.select("key", "salt", F.col("since").alias("time"), F.lit(0).alias("kind"), "until", F.col("until").isNull().alias("forever"))
+    child = suspects.select("key", "salt", "time", F.lit(1).alias("kind"), "name", "period", "record")
+    so_far = Window.partitionBy("key", "salt").orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = parent.unionByName(child, allowMissingColumns=True).withColumns({"lasts": F.max("until").over(so_far), "ever": F.coalesce(F.max("forever").over(so_far), F.lit(False))})
+    orphans = held.filter((F.col("kind") == 1) & ~F.col("ever") & ~F.coalesce(F.col("lasts") > F.col("time"), F.lit(False)))
     return orphans.select(
         F.col("name").alias("table_name"), F.when(F.col("period") != NO_PERIOD, F.col("period")).alias("year_month"), F.col("record").alias("record_id")
     ).distinct()
