@@ -10,7 +10,8 @@ import os
 import sys
 
 from quern.errors import PlanningError, QuernError
-from quern.session import DEFAULT_MEMORY_LIMIT_BYTES, Session, SessionConfig
+from quern.session import DEFAULT_BATCH_ROWS, DEFAULT_MEMORY_LIMIT_BYTES, Session, SessionConfig
+from quern.sources.files import INFER_ROWS
 
 
 def parser() -> argparse.ArgumentParser:
@@ -20,11 +21,13 @@ def parser() -> argparse.ArgumentParser:
     found.add_argument("--register", action="append", default=[], metavar="NAME=PATH", help="a further table; may be repeated")
     found.add_argument("-q", "--sql", required=True)
     found.add_argument("--format", choices=["auto", "csv", "parquet"], default="auto", help="format of the main table")
+    found.add_argument("--schema", help="column names and types of the main table where it is CSV, such as 'id BIGINT, name STRING'; inferred otherwise")
+    found.add_argument("--infer-rows", type=int, default=INFER_ROWS, help="rows from which CSV types are inferred; 0 for all")
     found.add_argument("--explain", action="store_true", help="print the plans and do not run")
     found.add_argument("--distributed", action="store_true", help="accepted; every plan is distributed")
     found.add_argument("--master", help="cluster to run on; local threads otherwise")
     found.add_argument("--workers", type=int, default=os.cpu_count() or 1)
-    found.add_argument("--batch-size", type=int, default=8192)
+    found.add_argument("--batch-size", type=int, default=DEFAULT_BATCH_ROWS)
     found.add_argument("--channel-capacity", type=int, default=2, help="accepted; Spark pipelines by itself")
     found.add_argument("--memory-limit-bytes", type=int, default=DEFAULT_MEMORY_LIMIT_BYTES)
     found.add_argument("--show-plan", action="store_true", help="print the plans after the result")
@@ -38,13 +41,12 @@ def main(argv: list[str] | None = None) -> int:
         config = SessionConfig(args.batch_size, args.channel_capacity, args.workers, args.distributed, args.memory_limit_bytes, args.master)
         session = Session(config)
         if args.input:
-            register = {"auto": session.register_file, "csv": session.register_csv, "parquet": session.register_parquet}[args.format]
-            register(args.table, args.input)
+            session.register_file(args.table, args.input, args.format, args.schema, args.infer_rows or None)
         for spec in args.register:
             name, equals, path = spec.partition("=")
             if not (name and equals and path):
                 raise PlanningError(f"--register takes NAME=PATH, not {spec}")
-            session.register_file(name, path)
+            session.register_file(name, path, infer_rows=args.infer_rows or None)
         if args.explain:
             print(session.explain(args.sql))
             return 0

@@ -7,7 +7,7 @@ Catalyst sees ordinary built-in expressions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -332,8 +332,8 @@ class Scope:
             a, b = widened(a, common), widened(b, common)
         return _of({"=": a == b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op], Kind.BOOLEAN)
 
-    def lower_aggregate(self, expr: Expr) -> Typed:
-        """An aggregate, by itself or under an alias."""
+    def lower_aggregate(self, expr: Expr, summed: Collection[Expr] = ()) -> Typed:
+        """An aggregate, by itself or under an alias; ``summed``: arguments of the query's SUM and AVG over distinct values."""
         found = expr.bare()
         if not isinstance(found, Agg):
             raise UnsupportedError(f"an aggregate must stand alone as an item, unlike in {expr}")
@@ -347,7 +347,7 @@ class Scope:
             return _of(aggregates.count_rows(), Kind.INT64)
         value = self.lower(found.expr)
         if found.function == "COUNT":
-            return _of(aggregates.count(value.column, found.distinct), Kind.INT64)
+            return _of(aggregates.count(value.column, value.kind, found.distinct, found.expr in summed), Kind.INT64)
         if found.function in ("MIN", "MAX"):
             column = aggregates.smallest(value.column) if found.function == "MIN" else aggregates.largest(value.column)
             return Typed(column, value.kind, value.spark)

@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.types import FLOATS, Kind
+from quern.types import FLOATS, NUMERIC, Kind
 
 
 def _exact(column: Column, kind: Kind) -> Column:
@@ -19,11 +19,15 @@ def count_rows() -> Column:
     return F.count(F.lit(1))
 
 
-def count(column: Column, distinct: bool) -> Column:
-    return F.count_distinct(column) if distinct else F.count(column)
+def count(column: Column, kind: Kind, distinct: bool, summed: bool = False) -> Column:
+    """``summed``: the distinct values are summed too; one common expression for both keeps Spark from expanding every row."""
+    if not distinct:
+        return F.count(column)
+    return F.count_distinct(_exact(column, kind) if summed and kind in NUMERIC else column)
 
 
-#: Integers are summed in parts of so many bits, so that sums of longs stay exact for 2^41 rows of a group.
+#: Integers are summed in parts of so many bits, so that sums of longs stay exact for 2^41 rows of a group
+#: (with more, a part may overflow, which is an error and never a wrong sum).
 PART_BITS = 22
 
 
@@ -46,7 +50,7 @@ def total(column: Column, kind: Kind, distinct: bool) -> Column:
 def mean(column: Column, kind: Kind, distinct: bool) -> Column:
     if not distinct:
         return F.avg(column.cast("double"))
-    n = F.count_distinct(column)
+    n = count(column, kind, True, summed=True)
     return F.when(n > 0, total(column, kind, True) / F.when(n > 0, n))
 
 

@@ -22,7 +22,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +29,7 @@ from quern.operators import bitmaps
 from quern.operators.arrowruns import Boundaries, flat
 from quern.operators.bounded import bounded_join
 from quern.operators.materialize import materialize
+from quern.operators.numbering import numbered
 
 #: A hot key's surviving records are spread over so many tasks when they meet its parents.
 SALTS = 16
@@ -55,28 +55,10 @@ class References:
 def dense_codes(keys: DataFrame, key: str = "key") -> DataFrame:
     """Codes 0, 1, 2, ... for the distinct values of a column, in its order: (key, code).
 
-    Values are range partitioned and numbered in each partition; partition
-    offsets (one number a partition) are then added. NULL gets no code.
+    Values are range partitioned, sorted and numbered. NULL gets no code.
     """
-    kind = keys.schema[key].dataType.simpleString()
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            rows = batch.num_rows
-            yield pa.record_batch([batch.column(0), pa.array(np.full(rows, part)), pa.array(np.arange(n, n + rows))], ["key", "part", "at"])
-            n += rows
-
     distinct = keys.select(F.col(f"`{key}`").alias("key")).filter("key IS NOT NULL").distinct()
-    numbered = materialize(distinct.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(number, f"key {kind}, part bigint, at bigint"))
-    offset, offsets = 0, []
-    for part, rows in sorted(numbered.groupBy("part").count().collect()):  # one row a partition
-        offsets.append((part, offset))
-        offset += rows
-    if not offsets:
-        return numbered.select("key", F.col("at").alias("code"))
-    added = numbered.sparkSession.createDataFrame(offsets, "part bigint, offset bigint")
-    return numbered.join(F.broadcast(added), "part").select("key", (F.col("at") + F.col("offset")).alias("code"))
+    return numbered(distinct.repartitionByRange("key").sortWithinPartitions("key"), "code")
 
 
 def reference_bitmaps(coded: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """Queries of the engine's own operators over the shared tables, and their SQL.
 
 Most go through the SQL front end; the others build relations. Float
-aggregates are rounded, since the order of summation is not fixed.
+aggregates are rounded, since the order of summation is not fixed. Where a
+float column may hold NaN, its name comes after that of a key column: results
+are compared sorted by their columns in the order of names, and a sort has no
+place for NaN.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql.datasource import GreaterThan
 
 from quern.expr import agg, col, count_star, lit
 from quern.operators.materialize import remember, shared_dir
+from quern.operators.numbering import numbered
 from quern.relation import SortKey
 from quern.session import Session
 from quern.sources.provider import TableProvider
@@ -31,16 +35,21 @@ class _Lazy(Session):
         super().__init__(spark=spark)
         self._folder = sf_dir
 
-    def table(self, name, alias=None):
+    def table(self, name, alias=None, columns=None):
         if name.lower() not in self._tables and name.lower() in TABLES:
             self.register_parquet(name, f"{self._folder}/{name.lower()}.parquet")
-        return super().table(name, alias)
+        return super().table(name, alias, columns)
+
+
+#: Added to floats before rounding: means of few decimals often lie halfway between two, where the order of summation decides.
+NUDGE = 1.3e-6
 
 
 def _rounded(df: DataFrame, places: int | None) -> DataFrame:
     if places is None:
         return df
-    return df.select(*(F.round(F.col(f"`{c}`"), places).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes))
+    nudge = NUDGE if places < 6 else 0.0
+    return df.select(*(F.round(F.col(f"`{c}`") + nudge, places).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes))
 
 
 def _run(sql: str, places: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
@@ -69,8 +78,8 @@ _add("scan_project_alias", "SELECT n_nationkey AS k, n_name AS name, n_regionkey
 _add("select_star", "SELECT * FROM region")
 _add("star_and_expr", "SELECT *, r_regionkey + 1 AS next FROM region", "SELECT *, CAST(r_regionkey AS BIGINT) + 1 AS next FROM region")
 _add("filter_cmp", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45.0 AND l_discount <= 0.05 AND l_returnflag <> 'N'", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45.0 AND l_discount <= 0.05::DOUBLE AND l_returnflag <> 'N'")
-_add("scan_filter_project", "SELECT id, amount * 1.2 AS gross FROM sales WHERE active = TRUE AND amount > 50", "SELECT id, amount * 1.2::DOUBLE AS gross FROM sales WHERE active AND amount > 50")
-_add("filter_or_null", "SELECT id, amount FROM sales WHERE amount > 1000 OR amount IS NULL")
+_add("scan_filter_project", "SELECT id, amount * 1.2 AS value FROM sales WHERE active = TRUE AND amount > 50", "SELECT id, round(amount * 1.2::DOUBLE, 6) AS value FROM sales WHERE active AND amount > 50", 6)
+_add("filter_or_null", "SELECT id, amount AS value FROM sales WHERE amount > 1000 OR amount IS NULL", "SELECT id, round(amount, 6) AS value FROM sales WHERE amount > 1000 OR amount IS NULL", 6)
 _add("filter_is_not_null", "SELECT row_id, code FROM keyed WHERE category IS NULL AND code IS NOT NULL")
 _add("null_predicate", "SELECT id, amount IS NULL AS missing FROM sales")
 _add("kleene", "SELECT row_id, code > 5 OR category = 'a' AS either, code > 5 AND category = 'a' AS both FROM keyed")
@@ -78,7 +87,7 @@ _add("where_or_literal_null", "SELECT COUNT(*) AS n FROM sales WHERE active OR N
 _add("compare_int_float", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber >= l_quantity")
 _add("compare_timestamps", "SELECT id, sold_at, loaded_at > sold_at AS late FROM sales")
 _add("literals", "SELECT r_regionkey, 1 AS i, 1.5 AS f, 'it''s' AS s, TRUE AS t, CAST(NULL AS BIGINT) AS nothing FROM region", "SELECT r_regionkey, 1::BIGINT AS i, 1.5::DOUBLE AS f, 'it''s' AS s, true AS t, NULL::BIGINT AS nothing FROM region")
-_add("filter_sort_limit", "SELECT id, amount FROM sales WHERE amount >= 22 ORDER BY amount DESC, id LIMIT 30", "SELECT id, amount FROM sales WHERE amount >= 22 ORDER BY amount DESC NULLS FIRST, id LIMIT 30")
+_add("filter_sort_limit", "SELECT id, amount AS value FROM sales WHERE amount >= 22 ORDER BY value DESC, id LIMIT 100", "SELECT id, round(amount, 6) AS value FROM sales WHERE amount >= 22 ORDER BY amount DESC NULLS FIRST, id LIMIT 100", 6)
 # arithmetic and casts
 _add("int_arithmetic", "SELECT p_partkey, p_size + 1 AS a, p_size - 100 AS s, p_size * p_size AS m FROM part", "SELECT p_partkey, p_size::BIGINT + 1 AS a, p_size::BIGINT - 100 AS s, p_size::BIGINT * p_size AS m FROM part")
 _add("int_div", "SELECT o_orderkey, o_custkey / 7 AS q FROM orders", "SELECT o_orderkey, o_custkey // 7 AS q FROM orders")
@@ -91,12 +100,13 @@ _add("cast_narrow", "SELECT o_orderkey, CAST(o_orderkey * 1000000 AS INT) AS i F
 _add("cast_unsigned", "SELECT id, CAST(id AS BIGINT UNSIGNED) AS u, CAST(id - 100 AS INT UNSIGNED) AS small FROM sales", "SELECT id, CAST(id AS DECIMAL(20,0)) AS u, CAST(TRY_CAST(id - 100 AS UINTEGER) AS BIGINT) AS small FROM sales")
 _add("cast_real", "SELECT p_partkey, CAST(p_size AS REAL) AS r, CAST(p_size > 10 AS INT) AS flag, CAST(NULL AS TEXT) AS t FROM part")
 # aggregation
-_add("agg_group", "SELECT l_returnflag, COUNT(*) AS n, SUM(l_extendedprice) AS revenue, AVG(l_quantity) AS mean, MIN(l_discount) AS low, MAX(l_tax) AS high FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag", "SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS revenue, round(avg(l_quantity), 2) AS mean, min(l_discount) AS low, max(l_tax) AS high FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag", 2)
-_add("hash_aggregate", "SELECT region, COUNT(*) AS n, COUNT(amount) AS known FROM sales GROUP BY region")
-_add("multi_key_aggregate", "SELECT region, customer_id, COUNT(*) AS n FROM sales GROUP BY region, customer_id")
+_add("agg_group", "SELECT l_returnflag, COUNT(*) AS n, SUM(l_extendedprice) AS revenue, AVG(l_quantity) AS mean, MIN(l_discount) AS low, MAX(l_tax) AS high FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag", "SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS revenue, round(avg(l_quantity) + 1.3e-6, 2) AS mean, min(l_discount) AS low, max(l_tax) AS high FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag", 2)
+_add("hash_aggregate", "SELECT region, COUNT(*) AS n, SUM(amount) AS total, AVG(amount) AS typical FROM sales GROUP BY region", "SELECT region, count(*) AS n, round(sum(amount), 2) AS total, round(avg(amount) + 1.3e-6, 2) AS typical FROM sales GROUP BY region", 2)
+_add("two_stage_aggregate", "SELECT region, COUNT(*) AS n, SUM(amount) AS total, AVG(amount) AS typical, MIN(amount) AS value_low, MAX(amount) AS value_high FROM sales WHERE amount > 10 GROUP BY region", "SELECT region, count(*) AS n, round(sum(amount), 2) AS total, round(avg(amount) + 1.3e-6, 2) AS typical, round(min(amount), 2) AS value_low, round(max(amount), 2) AS value_high FROM sales WHERE amount > 10 GROUP BY region", 2)
+_add("multi_key_aggregate", "SELECT region, customer_id, COUNT(*) AS n, SUM(amount) AS total FROM sales GROUP BY region, customer_id", "SELECT region, customer_id, count(*) AS n, round(sum(amount), 2) AS total FROM sales GROUP BY region, customer_id", 2)
 _add("group_null_keys", "SELECT category, code, COUNT(*) AS n, SUM(amount) AS total FROM keyed GROUP BY category, code", "SELECT category, code, count(*) AS n, round(sum(amount), 2) AS total FROM keyed GROUP BY category, code", 2)
-_add("agg_int_sum_double", "SELECT l_returnflag, SUM(l_linenumber) AS s, AVG(l_orderkey) AS a FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, CAST(sum(l_linenumber) AS DOUBLE) AS s, round(avg(l_orderkey), 2) AS a FROM lineitem GROUP BY l_returnflag", 2)
-_add("agg_distinct", "SELECT COUNT(DISTINCT customer_id) AS n, SUM(DISTINCT customer_id) AS s, AVG(DISTINCT customer_id) AS a, MIN(DISTINCT customer_id) AS low FROM shop_orders", "SELECT count(DISTINCT customer_id) AS n, CAST(sum(DISTINCT customer_id) AS DOUBLE) AS s, round(avg(DISTINCT customer_id), 2) AS a, min(customer_id) AS low FROM shop_orders", 2)
+_add("agg_int_sum_double", "SELECT l_returnflag, SUM(l_linenumber) AS s, AVG(l_orderkey) AS a FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, CAST(sum(l_linenumber) AS DOUBLE) AS s, round(avg(l_orderkey) + 1.3e-6, 2) AS a FROM lineitem GROUP BY l_returnflag", 2)
+_add("agg_distinct", "SELECT COUNT(DISTINCT customer_id) AS n, SUM(DISTINCT customer_id) AS s, AVG(DISTINCT customer_id) AS a, MIN(DISTINCT customer_id) AS low FROM shop_orders", "SELECT count(DISTINCT customer_id) AS n, CAST(sum(DISTINCT customer_id) AS DOUBLE) AS s, round(avg(DISTINCT customer_id) + 1.3e-6, 2) AS a, min(customer_id) AS low FROM shop_orders", 2)
 _add("agg_distinct_grouped", "SELECT category, COUNT(DISTINCT code) AS codes, COUNT(*) AS n FROM keyed GROUP BY category")
 _add("agg_global_empty", "SELECT COUNT(*) AS n, COUNT(id) AS c, SUM(id) AS s, AVG(id) AS a, MIN(region) AS low, MAX(amount) AS high FROM sales WHERE id < 0", "SELECT count(*) AS n, count(id) AS c, CAST(sum(id) AS DOUBLE) AS s, avg(id) AS a, min(region) AS low, max(amount) AS high FROM sales WHERE id < 0")
 _add("agg_grouped_empty", "SELECT region, COUNT(*) AS n FROM sales WHERE id < 0 GROUP BY region")
@@ -112,8 +122,27 @@ _add("agg_expr_arg", "SELECT l_linestatus, SUM(l_extendedprice * (1 - l_discount
 _add("sort_desc_nulls", "SELECT id, amount FROM sales ORDER BY amount DESC, id LIMIT 40", "SELECT id, amount FROM sales ORDER BY amount DESC NULLS FIRST, id LIMIT 40")
 _add("sort_asc_nulls", "SELECT row_id, code FROM keyed ORDER BY code, row_id LIMIT 40", "SELECT row_id, code FROM keyed ORDER BY code ASC NULLS LAST, row_id LIMIT 40")
 _add("sort_nulls_given", "SELECT row_id, category, code FROM keyed ORDER BY category NULLS FIRST, code DESC NULLS LAST, row_id LIMIT 40", "SELECT row_id, category, code FROM keyed ORDER BY category ASC NULLS FIRST, code DESC NULLS LAST, row_id LIMIT 40")
-_add("full_sort", "SELECT id, amount FROM sales ORDER BY amount DESC, id", "SELECT id, amount FROM sales")
-_add("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 100")
+_add("full_sort", "SELECT id, amount AS value FROM sales ORDER BY value DESC, id", "SELECT id, round(amount, 6) AS value FROM sales ORDER BY amount DESC NULLS FIRST, id", 6)
+_add("topk", "SELECT id, amount AS value FROM sales ORDER BY value DESC NULLS LAST, id LIMIT 100", "SELECT id, round(amount, 6) AS value FROM sales ORDER BY amount DESC NULLS LAST, id LIMIT 100", 6)
+_add("topk_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 100")
+
+
+def _placed(name: str, sql: str, oracle: str) -> None:
+    """A sorted query with each row's place in its output, so that comparing the rows compares the order."""
+    QUERIES[name] = lambda spark, sf_dir: numbered(_Lazy(spark, sf_dir).sql(sql).to_df(), "place")
+    SQL[name] = oracle
+
+
+_placed(
+    "sort_places",
+    "SELECT id, loaded_at, amount AS value FROM sales ORDER BY value DESC, id, loaded_at",
+    "SELECT id, loaded_at, round(amount, 6) AS value, row_number() OVER (ORDER BY amount DESC NULLS FIRST, id, loaded_at) - 1 AS place FROM sales",
+)
+_placed(
+    "sort_places_given",
+    "SELECT category, code, row_id FROM keyed ORDER BY category DESC NULLS LAST, code NULLS FIRST, row_id LIMIT 2000",
+    "SELECT category, code, row_id, place FROM (SELECT *, row_number() OVER (ORDER BY category DESC NULLS LAST, code ASC NULLS FIRST, row_id) - 1 AS place FROM keyed) WHERE place < 2000",
+)
 _add("limit0", "SELECT id, region FROM sales LIMIT 0")
 # joins
 _add("join_inner", "SELECT o.o_orderkey, c.c_name FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey")
@@ -121,7 +150,7 @@ _add("join_left_null_extended", "SELECT s.order_id, s.ordered_at, c.name FROM sh
 _add("join_null_keys", "SELECT a.row_id, b.row_id AS other FROM keyed a JOIN keyed b ON a.code = b.code AND a.row_id = b.row_id")
 _add("join_compound", "SELECT a.row_id, b.amount FROM keyed a LEFT JOIN keyed b ON b.row_id = a.row_id AND a.category = b.category")
 _add("join_expr_key", "SELECT r.r_name, n.n_name FROM region r JOIN nation n ON r.r_regionkey + 1 = n.n_regionkey + 0")
-_add("join_filter", "SELECT s.id, c.tier FROM sales s JOIN customers c ON s.customer_id = c.customer_id WHERE s.amount > 50")
+_add("join_filter", "SELECT s.id, c.tier, s.amount AS value FROM sales s JOIN customers c ON s.customer_id = c.customer_id WHERE s.amount > 50", "SELECT s.id, c.tier, round(s.amount, 6) AS value FROM sales s JOIN customers c ON s.customer_id = c.customer_id WHERE s.amount > 50", 6)
 _add("join_group", "SELECT c.tier, COUNT(*) AS n FROM sales s JOIN customers c ON s.customer_id = c.customer_id GROUP BY c.tier")
 _add("join_many_to_many", "SELECT o.o_orderpriority AS priority, COUNT(*) AS n, SUM(l.l_quantity) AS q FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderpriority", "SELECT o.o_orderpriority AS priority, count(*) AS n, round(sum(l.l_quantity), 2) AS q FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderpriority", 2)
 _add("join_string_key", "SELECT d.doc_id, m.mix_name, m.weight FROM documents d JOIN mix_targets m ON d.source = m.source")
@@ -178,8 +207,14 @@ class _Numbers(TableProvider):
         return 4
 
     def scan_partition(self, partition):
+        yield from self.scan_columns(partition, ["n", "square"], 1000)
+
+    def scan_columns(self, partition, columns, batch_rows):
         n = np.arange(partition * 1000, (partition + 1) * 1000)
-        yield pa.record_batch([pa.array(n), pa.array(n * n)], ["n", "square"])
+        yield pa.record_batch([pa.array(n if c == "n" else n * n) for c in columns], list(columns))
+
+    def partition_bytes(self):
+        return 16_000
 
     def partition_may_match(self, partition, filters):
         return all(not isinstance(f, GreaterThan) or f.attribute != ("n",) or (partition + 1) * 1000 - 1 > f.value for f in filters)

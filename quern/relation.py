@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.errors import PlanningError, UnsupportedError
-from quern.expr import Col, Expr, Field, Scope, Star, Typed, as_expr
+from quern.expr import Agg, Col, Expr, Field, Scope, Star, Typed, as_expr
 from quern.types import UNSIGNED, UNSIGNED_MARK, Kind, kind_of
 
 
@@ -105,7 +105,9 @@ class Relation:
         if not keys and not aggregates:
             raise PlanningError("an aggregation needs keys or aggregates")
         lowered = [(k.name, self.scope.lower(k)) for k in keys]
-        measures = [(a.name, self.scope.lower_aggregate(a)) for a in aggregates]
+        found = [a.bare() for a in aggregates]
+        summed = [a.expr for a in found if isinstance(a, Agg) and a.distinct and a.function in ("SUM", "AVG")]
+        measures = [(a.name, self.scope.lower_aggregate(a, summed)) for a in aggregates]
         fields = self._made([*lowered, *measures])
         # keys become columns first: then each is computed once and any type can be grouped on
         made = [f"k{i}" for i in range(len(keys))]

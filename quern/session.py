@@ -6,23 +6,35 @@ import os
 import threading
 import time
 import uuid
+from collections.abc import Collection
 from dataclasses import dataclass, field
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.errors import PySparkException
+from pyspark.errors.exceptions.captured import unwrap_spark_exception
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.serializers import ArrowCollectSerializer
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.util import _load_from_socket
 
 from quern import sqlfront
 from quern.errors import CancelledError, ExecutionError, NotFoundError, PlanningError, QuernError, ResourceExhaustedError
 from quern.metrics import QueryMetrics, operators
 from quern.relation import Relation
-from quern.sources.files import read_csv, read_parquet
+from quern.sources.files import INFER_ROWS, read_csv, read_parquet
 from quern.sources.memory import memory_frame
 from quern.sources.provider import TableProvider, provider_frame
 
 DEFAULT_MEMORY_LIMIT_BYTES = 512 << 20
+DEFAULT_BATCH_ROWS = 8192
+
+#: What the engine's semantics need of a Spark session: errors on overflow and on integer division by zero.
+NEEDED = {"spark.sql.ansi.enabled": "true"}
+
+#: What a Session sets where Spark's default differs: filters reach sources written in Python.
+RUNTIME = {"spark.sql.python.filterPushdown.enabled": "true"}
 
 
 @dataclass
@@ -31,13 +43,16 @@ class SessionConfig:
 
     ``batch_size`` sets the rows of Spark's columnar batches and Arrow batches,
     ``workers`` the local threads where the session starts Spark itself.
+    Where Spark runs already, a batch size other than the default is set there,
+    and ``master`` or ``workers`` that contradict it are an error.
     ``memory_limit_bytes`` bounds the result that a query may hand to the
-    driver; inside the cluster Spark spills instead of failing.
+    driver: fetching stops as soon as it is exceeded. Inside the cluster Spark
+    spills instead of failing.
     ``channel_capacity`` and ``distributed`` are kept for callers that set
     them: Spark pipelines by itself, and every plan is distributed.
     """
 
-    batch_size: int = 8192
+    batch_size: int = DEFAULT_BATCH_ROWS
     channel_capacity: int = 2
     workers: int = field(default_factory=lambda: os.cpu_count() or 1)
     distributed: bool = False
@@ -51,20 +66,29 @@ class SessionConfig:
     def start(self) -> SparkSession:
         """The running Spark session, or a new one with these settings."""
         running = SparkSession.getActiveSession()
+        batches = dict.fromkeys(("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"), str(self.batch_size))
         if running is not None:
+            self._agree(running.conf.get("spark.master", ""))
+            if self.batch_size != DEFAULT_BATCH_ROWS:
+                for name, value in batches.items():
+                    running.conf.set(name, value)
             return running
         builder = SparkSession.builder.appName("quern").master(self.master or f"local[{self.workers}]")
-        settings = {
-            "spark.ui.enabled": "false",
-            "spark.sql.session.timeZone": "UTC",
-            "spark.sql.parquet.columnarReaderBatchSize": str(self.batch_size),
-            "spark.sql.execution.arrow.maxRecordsPerBatch": str(self.batch_size),
-        }
+        settings = {"spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", **batches}
         if not self.master:
             settings["spark.sql.shuffle.partitions"] = str(self.workers)
         return builder.config(map=settings).getOrCreate()
 
 
+    def _agree(self, master: str) -> None:
+        """Settings that can't change while Spark runs must be left alone or name what is there."""
+        if self.master not in (None, master):
+            raise PlanningError(f"Spark runs on {master} already; it can't be moved to {self.master}")
+        threads = master.removeprefix("local[").removesuffix("]")
+        if self.workers != (os.cpu_count() or 1) and threads.isdigit() and int(threads) != self.workers:
+            raise PlanningError(f"Spark runs with {threads} threads already; it can't have {self.workers} workers")
+
+
 class CancellationToken:
     """Stops the queries that were started with it."""
 
@@ -150,7 +174,12 @@ class Session:
     def __init__(self, config: SessionConfig | None = None, spark: SparkSession | None = None) -> None:
         self.config = config or SessionConfig()
         self.spark = spark or self.config.start()
-        self._tables: dict[str, DataFrame] = {}
+        for name, value in NEEDED.items():
+            if self.spark.conf.get(name) != value:
+                raise PlanningError(f"the engine's arithmetic needs {name}={value}")
+        for name, value in RUNTIME.items():
+            self.spark.conf.set(name, value)
+        self._tables: dict[str, DataFrame | TableProvider] = {}
 
     # catalog: names are case-insensitive, the last registration wins
 
@@ -161,23 +190,24 @@ class Session:
         """Rows, a pandas DataFrame, or Arrow tables and batches (all of one schema)."""
         self.register_frame(name, memory_frame(self.spark, data, schema, partitions))
 
-    def register_csv(self, name: str, path: str | Path) -> None:
-        """A CSV file with a header; types are inferred."""
-        self.register_frame(name, read_csv(self.spark, path))
+    def register_csv(self, name: str, path: str | Path, schema: T.StructType | str | None = None, infer_rows: int | None = INFER_ROWS) -> None:
+        """CSV with a header. Without a schema, types follow from the first ``infer_rows`` rows (None: all rows, read once more)."""
+        self.register_frame(name, read_csv(self.spark, path, schema, infer_rows))
 
     def register_parquet(self, name: str, path: str | Path) -> None:
         self.register_frame(name, read_parquet(self.spark, path))
 
     def register_table(self, name: str, provider: TableProvider) -> None:
-        """A source written in Python."""
-        self.register_frame(name, provider_frame(self.spark, provider))
-
-    def register_file(self, name: str, path: str | Path) -> None:
-        """A CSV or Parquet file, told apart by its ending."""
-        ending = Path(path).suffix.lower()
-        if ending == ".csv":
-            self.register_csv(name, path)
-        elif ending in (".parquet", ".pq"):
+        """A source written in Python. A query reads only the columns that it names."""
+        self._tables[name.lower()] = provider
+
+    def register_file(self, name: str, path: str | Path, kind: str = "auto", schema: T.StructType | str | None = None, infer_rows: int | None = INFER_ROWS) -> None:
+        """A CSV or Parquet file, told apart by its ending unless ``kind`` says which; schema and inference are for CSV."""
+        if kind == "auto":
+            kind = {".csv": "csv", ".parquet": "parquet", ".pq": "parquet"}.get(Path(path).suffix.lower())
+        if kind == "csv":
+            self.register_csv(name, path, schema, infer_rows)
+        elif kind == "parquet":
             self.register_parquet(name, path)
         else:
             raise PlanningError(f"can't tell the format of {path}; use .csv, .parquet or .pq")
@@ -186,19 +216,26 @@ class Session:
     def tables(self) -> list[str]:
         return sorted(self._tables)
 
-    def table(self, name: str, alias: str | None = None) -> Relation:
-        """The scan of a registered table."""
-        frame = self._tables.get(name.lower())
-        if frame is None:
+    def table(self, name: str, alias: str | None = None, columns: Collection[str] | None = None) -> Relation:
+        """The scan of a registered table.
+
+        ``columns``: the only ones that will be used, for sources written in
+        Python; other sources find that out from the plan.
+        """
+        found = self._tables.get(name.lower())
+        if found is None:
             raise NotFoundError(f"table '{name}' is not registered")
-        return Relation.scan(frame, name, alias)
+        if isinstance(found, TableProvider):
+            found = provider_frame(self.spark, found, columns, self.config.batch_size)
+        return Relation.scan(found, name, alias)
 
     # queries
 
     def sql(self, text: str) -> Relation:
         """The relation of one SELECT statement; nothing runs."""
         try:
-            return sqlfront.build(sqlfront.parse(text), self.table)
+            query = sqlfront.parse(text)
+            return sqlfront.build(query, lambda name, alias: self.table(name, alias, query.columns()))
         except PySparkException as error:
             raise PlanningError(str(error)) from error
 
@@ -217,7 +254,7 @@ class Session:
         if cancellation:
             cancellation._enter(self.spark)
         try:
-            table = frame.toArrow()
+            table = bounded_fetch(frame, self.config.memory_limit_bytes)
         except QuernError:
             raise
         except Exception as error:
@@ -231,8 +268,6 @@ class Session:
                 cancellation._leave(self.spark)
         if cancellation and cancellation.cancelled:
             raise CancelledError("the query was cancelled")
-        if table.nbytes > self.config.memory_limit_bytes:
-            raise ResourceExhaustedError(f"the result has {table.nbytes} bytes; the limit is {self.config.memory_limit_bytes}")
         elapsed = (time.perf_counter() - began) * 1000
         found = operators(frame)
         metrics = QueryMetrics(elapsed, table.num_rows, len(table.to_batches()), table.nbytes, found)
@@ -241,6 +276,43 @@ class Session:
         return QueryResult(table, metrics, relation.explain(), optimized, physical, exchanges > 0, exchanges + 1)
 
 
+def bounded_fetch(frame: DataFrame, limit: int) -> pa.Table:
+    """The rows at the driver, batch by batch as tasks end; beyond ``limit`` bytes the rest is cancelled.
+
+    Over Spark Connect, which has no such stream, the size is checked at the end.
+    """
+
+    def check(size: int) -> None:
+        if size > limit:
+            raise ResourceExhaustedError(f"the result has more than {limit} bytes, the limit: {size} were fetched")
+
+    if not hasattr(frame, "_jdf"):
+        table = frame.toArrow()
+        check(table.nbytes)
+        return table
+    context, tag, size, found = frame.sparkSession.sparkContext, f"quern-fetch-{uuid.uuid4().hex}", 0, []
+    context.addJobTag(tag)
+    try:
+        port, secret, server = frame._jdf.collectAsArrowToPython()
+        try:
+            for item in _load_from_socket((port, secret), ArrowCollectSerializer()):
+                found.append(item)
+                if isinstance(item, pa.RecordBatch):
+                    size += item.nbytes
+                    check(size)
+        except ResourceExhaustedError:
+            context.cancelJobsWithTag(tag)
+            raise
+        finally:
+            if size <= limit:
+                with unwrap_spark_exception():
+                    server.getResult()
+    finally:
+        context.removeJobTag(tag)
+    order = found.pop()  # comes after the batches
+    schema = to_arrow_schema(frame.schema)
+    return pa.Table.from_batches([found[i] for i in order]).cast(schema) if order else schema.empty_table()
+
 
 def _plans(frame: DataFrame) -> tuple[str, str]:
     try:

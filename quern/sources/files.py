@@ -11,14 +11,26 @@ from pyspark.sql import types as T
 from quern.errors import NotFoundError
 
 
-def read_csv(spark: SparkSession, path: str | Path, schema: T.StructType | None = None, sample: float = 1.0) -> DataFrame:
-    """Comma-separated text with a header. Without a schema types are inferred from a share of the rows.
+#: Rows of a CSV source from which types are inferred unless said otherwise.
+INFER_ROWS = 1000
 
-    Inference reads the file once more; give a schema where the file is large.
+
+def read_csv(spark: SparkSession, path: str | Path, schema: T.StructType | str | None = None, infer_rows: int | None = INFER_ROWS) -> DataFrame:
+    """Comma-separated text with a header.
+
+    Without a schema types are inferred from the first ``infer_rows`` rows, or
+    from all rows (None), which reads everything once more. A later row that
+    does not fit the types is an error where its columns are read, never a
+    silent NULL.
     """
-    reader = spark.read.option("header", True)
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True).option("samplingRatio", sample).option("preferDate", False)
-    return _found(lambda: reader.csv(str(path)), path)
+    if schema is None:
+        inferring = spark.read.option("header", True).option("inferSchema", True).option("preferDate", False)
+        if infer_rows is None:
+            return _found(lambda: inferring.csv(str(path)), path)
+        first = [r.value for r in _found(lambda: spark.read.text(str(path)), path).limit(infer_rows + 1).collect()]
+        header, rows = first[:1], [line for line in first[1:] if line != first[0]]  # each file of a folder repeats the header
+        schema = inferring.csv(spark.sparkContext.parallelize(header + rows, 1)).schema
+    return _found(lambda: spark.read.option("header", True).option("mode", "FAILFAST").schema(schema).csv(str(path)), path)
 
 
 def read_parquet(spark: SparkSession, path: str | Path) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual
 
 from quern import CancellationToken, Kind, Relation, Session, SessionConfig, SortKey, agg, col, count_star, lit
 from quern.cli import main
-from quern.errors import CancelledError, NotFoundError, PlanningError, ResourceExhaustedError, UnsupportedError
+from quern.errors import CancelledError, ExecutionError, NotFoundError, PlanningError, ResourceExhaustedError, UnsupportedError
 from quern.sources.provider import TableProvider
 
 
@@ -40,6 +40,29 @@ def test_csv_join_needs_like_key_types(session, files):
     assert rows == [(1, "Ada"), (2, "Grace"), (3, "Ada"), (4, None)]
 
 
+def test_csv_types_given_inferred_or_refused(session, tmp_path):
+    (tmp_path / "x.csv").mkdir()
+    for part, rows in enumerate(["1,a\n2,b\n", "3,c\n4.5,d\n"]):
+        (tmp_path / "x.csv" / f"{part}.csv").write_text("n,s\n" + rows)
+    path = tmp_path / "x.csv"
+    session.register_csv("given", path, "n DOUBLE, s STRING")
+    assert session.execute_sql("SELECT SUM(n) AS t FROM given").rows() == [(10.5,)]
+    session.register_csv("whole", path, infer_rows=None)
+    assert session.execute_sql("SELECT MAX(n) AS t FROM whole").rows() == [(4.5,)]
+    session.register_csv("some", path, infer_rows=4)  # a header line of the second file is no row
+    assert dict(session.table("some").to_df().dtypes) == {"n": "double", "s": "string"}
+    session.register_csv("one", path, infer_rows=1)
+    assert dict(session.table("one").to_df().dtypes) == {"n": "int", "s": "string"}
+    with pytest.raises(ExecutionError):
+        session.execute_sql("SELECT MAX(n) AS t FROM one")
+    assert session.execute_sql("SELECT COUNT(s) AS t FROM one").rows() == [(4,)]
+    with pytest.raises(NotFoundError):
+        session.register_csv("no", tmp_path / "no.csv")
+    (tmp_path / "empty.csv").write_text("a,b\n")
+    session.register_csv("empty", tmp_path / "empty.csv")
+    assert session.execute_sql("SELECT a, b FROM empty").columns == ["a", "b"]
+
+
 def test_parquet_pushdown_and_pruned_columns(session, files):
     session.register_file("sales", files / "sales.parquet")
     frame = session.sql("SELECT region FROM sales WHERE id >= 4").to_df()
@@ -98,6 +121,52 @@ def test_provider_skips_partitions(session):
     assert sorted(session.execute_sql("SELECT n, part FROM r WHERE n >= 11").rows()) == [(11, "p1"), (20, "p2"), (21, "p2")]
 
 
+class Wide(TableProvider):
+    def __init__(self, promised=None):
+        self.promised = promised
+
+    def schema(self):
+        return pa.schema([("n", pa.int64()), ("half", pa.float64()), ("text", pa.string())])
+
+    def partition_count(self):
+        return 2
+
+    def scan_partition(self, partition):
+        raise AssertionError("all columns were asked for")
+
+    def scan_columns(self, partition, columns, batch_rows):
+        made = {"n": lambda i: i, "half": lambda i: i / 2}  # text can't be made
+        yield pa.record_batch({c: pa.array([made[c](i) for i in range(partition * 5, partition * 5 + 5)], self.schema().field(c).type) for c in columns})
+
+    def partition_bytes(self):
+        return self.promised
+
+
+def test_provider_gets_the_columns_of_the_query(session):
+    session.register_table("w", Wide())
+    assert session.execute_sql("SELECT SUM(w.half) AS s FROM w WHERE n > 3").rows() == [(19.5,)]
+    assert session.execute_sql("SELECT COUNT(*) AS n FROM w").rows() == [(10,)]
+    assert session.execute(session.table("w", columns=["n"]).sort("n").limit(1)).rows() == [(0,)]
+    with pytest.raises(ExecutionError):
+        session.execute_sql("SELECT * FROM w")
+
+
+def test_provider_size_is_promised_and_checked(session):
+    session.register_table("big", Ranges())
+    session.register_memory("m", [(i,) for i in range(3000)], "n bigint")
+    plans = {}
+    for promised in (None, 1000, 1 << 30, 10):
+        session.register_table("w", Wide(promised))
+        query = "SELECT m.n, w.half FROM m JOIN w ON m.n = w.n"
+        plans[promised] = session.sql(query).to_df()._jdf.queryExecution().optimizedPlan().toString()
+        if promised == 10:
+            with pytest.raises(ExecutionError, match="promises"):
+                session.execute_sql(query)
+        else:
+            assert session.execute_sql(query).row_count == 10
+    assert [("broadcast" in plan) for plan in plans.values()] == [False, True, False, True]
+
+
 def test_explain_and_metrics(session):
     session.register_memory("s", [(i, i % 3) for i in range(30)], "id bigint, g bigint")
     text = session.explain("SELECT g, COUNT(*) AS n FROM s WHERE id > 3 GROUP BY g ORDER BY n LIMIT 2")
@@ -124,6 +193,60 @@ def test_memory_limit(spark):
         session.execute_sql("SELECT id FROM s")
 
 
+def test_fetching_stops_at_the_limit(spark):
+    session, began = Session(SessionConfig(memory_limit_bytes=100_000), spark), time.time()
+    session.register_table("endless", Endless())
+    with pytest.raises(ResourceExhaustedError):
+        session.execute_sql("SELECT n FROM endless")
+    assert time.time() - began < 100  # the other partitions would take 40 minutes
+    assert session.execute_sql("SELECT n FROM endless WHERE n < 5").row_count == 5
+
+
+class Endless(TableProvider):
+    """One large partition, and others that take their time."""
+
+    def schema(self):
+        return pa.schema([("n", pa.int64())])
+
+    def partition_count(self):
+        return 160
+
+    def scan_partition(self, partition):
+        if partition:
+            time.sleep(60)
+        yield pa.record_batch({"n": pa.array(range(50_000 if not partition else 1), pa.int64())})
+
+    def partition_may_match(self, partition, filters):
+        return partition == 0 or not filters
+
+
+def test_settings_of_a_running_session(spark):
+    batches = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batches)
+    try:
+        assert SessionConfig(batch_size=77).start() is spark and spark.conf.get(batches) == "77"
+        for config in (SessionConfig(master="spark://elsewhere:7077"), SessionConfig(workers=3)):
+            with pytest.raises(PlanningError):
+                config.start()
+        assert SessionConfig(workers=4, master="local[4]").start() is spark
+    finally:
+        spark.conf.set(batches, before)
+        spark.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(PlanningError, match="ansi"):
+            Session(spark=spark)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_one_distinct_expression_needs_no_expand(session):
+    session.register_memory("s", [(1, 5, 2.0), (1, 5, 2.0), (1, None, 3.0), (2, -7, None)], "g bigint, x bigint, y double")
+    sql = "SELECT g, COUNT(DISTINCT x) AS n, SUM(DISTINCT x) AS s, AVG(DISTINCT x) AS a, COUNT(x) AS c, SUM(y) AS t FROM s GROUP BY g"
+    assert "Expand" not in session.explain(sql)
+    assert sorted(session.execute_sql(sql).rows()) == [(1, 1, 5.0, 5.0, 2, 7.0), (2, 1, -7.0, -7.0, 1, None)]
+
+
 def test_config_clamps():
     config = SessionConfig(batch_size=0, channel_capacity=0, workers=0, memory_limit_bytes=0)
     assert (config.batch_size, config.channel_capacity, config.workers, config.memory_limit_bytes) == (1, 1, 1, 1)

@@ -1,6 +1,7 @@
 """SQL semantics and refusals over small tables held in memory."""
 
 import math
+import re
 
 import pyarrow as pa
 import pytest
@@ -194,6 +195,24 @@ def test_refused(db, sql):
         db.sql(sql)
 
 
+@pytest.mark.parametrize(
+    ("sql", "error", "part"),
+    [
+        ("SELECT id FROM sales UNION SELECT 1", UnsupportedError, "'UNION' at character 22 is not part of the accepted SELECT"), ("SELECT id FROM", PlanningError, "ends where a table name should follow"),
+        ("SELECT id WHERE id > 1", PlanningError, "'WHERE' at character 11 stands where FROM should follow"), ("SELECT id FROM sales WHERE id = (SELECT 1)", UnsupportedError, "'SELECT' at character 34"),
+        ("SELECT id FROM sales GROUP BY GROUPING SETS ((id))", UnsupportedError, "'GROUPING'"), ("SELECT lower(region) AS x FROM sales", UnsupportedError, "function LOWER at character 8"),
+        ("SELECT CAST(id AS DECIMAL(10, 2)) AS x FROM sales", UnsupportedError, "DECIMAL"), ("SELECT id FROM sales s JOIN gold g", PlanningError, "ends where ON should follow"), ("SELECT id id2 id3 FROM sales", PlanningError, "'id3'"),
+    ],
+)
+def test_refusals_name_the_token_and_its_place(db, sql, error, part):
+    with pytest.raises(error, match=re.escape(part)):
+        db.sql(sql)
+
+
+def test_reserved_words_after_as_or_in_quotes(db):
+    assert run(db, 'SELECT id AS order, "id" "from" FROM sales ORDER BY "order" LIMIT 1') == [(0, 0)]
+
+
 def test_group_by_forms(db):
     assert ordered(db, "SELECT region AS r, COUNT(*) AS n FROM sales GROUP BY region") == [("east", 4), ("west", 4)]
     assert ordered(db, "SELECT sales.region, COUNT(*) AS n FROM sales GROUP BY region") == [("east", 4), ("west", 4)]
