@@ -8,7 +8,8 @@
 3. reference AND-NOT parent leaves the keys whose references of that period
    may be orphans; the surviving bits are decoded to keys.
 4. Only records of surviving (key, period) pairs are held against the parents'
-   exact times; that settles keys that begin or end within the period.
+   exact times, hour by hour; that settles keys that begin or end within the
+   period.
 
 What is shuffled is one row per distinct (table, period, key) and the records
 of survivors, never all records; a key with a third of all rows is one bit.
@@ -27,13 +28,10 @@ from pyspark.sql import functions as F
 
 from quern.operators import bitmaps
 from quern.operators.arrowruns import Boundaries, flat
-from quern.operators.bounded import bounded_join
+from quern.operators.bounded import HotKeys, bounded_join
 from quern.operators.materialize import materialize
 from quern.operators.numbering import numbered
 
-#: A hot key's surviving records are spread over so many tasks when they meet its parents.
-SALTS = 16
-
 #: Periods that are worked on at a time where a key range is built; bounds the memory of a task.
 PERIOD_BLOCK = 64
 
@@ -205,22 +203,39 @@ def find_orphans(references: Sequence[References], parents: DataFrame, key: str,
 
     # within the bound, records are filtered by the survivors where they are read
     suspects = bounded_join(records, left_over, ["name", "period", "key"], ["record", "time"], "left_semi", written=True)
-    suspects = suspects.withColumn("salt", F.pmod(F.xxhash64("record", "time"), F.lit(SALTS)).cast("int"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    suspects = suspects.select("name", "period", "record", "key", "salt", "time").distinct()
-    # only parents of suspects take part, so that salting multiplies few rows
-    near = bounded_join(spans, left_over.select("key").distinct(), ["key"], ["since", "until"], "left_semi").withColumn("salt", salts)
-    # in order of time, a record has a parent if one that began by then lasts longer; linear for any number of rows a key
-    parent = near.select("key", "salt", F.col("since").alias("time"), F.lit(0).alias("kind"), "until", F.col("until").isNull().alias("forever"))
-    child = suspects.select("key", "salt", "time", F.lit(1).alias("kind"), "name", "period", "record")
-    so_far = Window.partitionBy("key", "salt").orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = parent.unionByName(child, allowMissingColumns=True).withColumns({"lasts": F.max("until").over(so_far), "ever": F.coalesce(F.max("forever").over(so_far), F.lit(False))})
-    orphans = held.filter((F.col("kind") == 1) & ~F.col("ever") & ~F.coalesce(F.col("lasts") > F.col("time"), F.lit(False)))
+    suspects = materialize(suspects.select("name", "period", "record", "key", "time").distinct())
+    near = bounded_join(spans, left_over.select("key").distinct(), ["key"], ["since", "until"], "left_semi")
+    orphans = _without_parent(suspects, near)
     return orphans.select(
         F.col("name").alias("table_name"), F.when(F.col("period") != NO_PERIOD, F.col("period")).alias("year_month"), F.col("record").alias("record_id")
     ).distinct()
 
 
+def _without_parent(records: DataFrame, spans: DataFrame) -> DataFrame:
+    """Records (key, time and others) without a span of their key that covers their time, exactly.
+
+    In order of time, a record has a parent if a span that began by then lasts
+    longer. What spans of earlier hours leave, the latest end among them, is
+    summed up in one row for each hour of a key; so only the spans and the
+    records of one hour meet, and the records of a hot hour are split.
+    """
+    hour = lambda at: (F.datediff(F.to_date(at), F.lit("1970-01-01")) * 24 + F.hour(at)).alias("hour")
+    parents = spans.select("key", hour(F.col("since")), F.col("since").alias("time"), "until", F.col("until").isNull().alias("forever"))
+    children = records.withColumn("hour", hour(F.col("time")))
+    begun = parents.groupBy("key", "hour").agg(F.max("until").alias("until"), F.max("forever").alias("forever")).withColumn("asked", F.lit(False))
+    asked = children.select("key", "hour").distinct().withColumn("asked", F.lit(True))
+    earlier = Window.partitionBy("key").orderBy(F.asc_nulls_first("hour"), F.desc("asked")).rowsBetween(Window.unboundedPreceding, -1)
+    left = begun.unionByName(asked, allowMissingColumns=True).withColumns({c: F.max(c).over(earlier) for c in ("until", "forever")}).filter("asked")
+
+    hot = HotKeys(children, ["key", "hour"])
+    known = left.select("key", "hour", "until", "forever", F.lit(0).alias("rank")).unionByName(parents.withColumn("rank", F.lit(1)), allowMissingColumns=True)
+    both = hot.copy(known).unionByName(hot.split(children, ["record", "time"]).withColumn("rank", F.lit(2)), allowMissingColumns=True)
+    # what earlier hours leave has no time and comes first; a span that begins at a record's time comes before it
+    so_far = Window.partitionBy("key", "hour", "part").orderBy(F.asc_nulls_first("time"), "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = both.withColumns({"lasts": F.max("until").over(so_far), "ever": F.coalesce(F.max("forever").over(so_far), F.lit(False))})
+    return held.filter((F.col("rank") == 2) & ~F.col("ever") & ~F.coalesce(F.col("lasts") > F.col("time"), F.lit(False)))
+
+
 def orphan_report(orphans: DataFrame) -> DataFrame:
     """Orphans per table and month: (table_name, year_month, orphans)."""
     return orphans.groupBy("table_name", "year_month").agg(F.count(F.lit(1)).alias("orphans"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quern.operators import balanced, bitmaps, orphans
 from quern.operators.arrowruns import Boundaries
 from quern.operators.balanced import balanced_group_by, exchange_counts, heavy_keys
-from quern.operators.bounded import bounded_join
+from quern.operators.bounded import HotKeys, bounded_join
 from quern.operators.materialize import materialize
 from quern.operators.sizing import advisory_bytes, partitions_for, source_bytes
 from quern.operators.orphans import References, dense_codes, find_orphans, orphan_report
@@ -108,12 +108,27 @@ def test_exchange_counts(spark):
     assert exchange_counts(spark, plans.filter("exchange_id = 3"), lambda name: None).count() == 0
 
 
+def test_hot_keys_are_split_by_their_counts(spark, monkeypatch):
+    monkeypatch.setattr("quern.operators.bounded.TASK_ROWS", 10)
+    rows = spark.createDataFrame([(i, "hot" if i < 95 else None if i < 120 else f"k{i % 7}") for i in range(150)], "id bigint, k string")
+    hot = HotKeys(rows, ["k"])
+    assert sorted(r["hot_parts"] for r in hot.parts.collect()) == [3, 10]
+    parts = {k: {r["part"] for r in hot.split(rows, ["id"]).filter(F.col("k").eqNullSafe(k)).collect()} for k in ("hot", None, "k1")}
+    assert parts["hot"] <= set(range(10)) and len(parts["hot"]) >= 8 and parts[None] == {0, 1, 2} and parts["k1"] == {0}
+    copies = hot.copy(spark.createDataFrame([("hot",), ("k1",), (None,)], "k string"))
+    assert sorted((r["k"] or "", r["part"]) for r in copies.collect()) == sorted([("hot", i) for i in range(10)] + [("k1", 0)] + [("", i) for i in range(3)])
+    monkeypatch.setattr("quern.operators.bounded.HOT_KEYS", 1)  # at most one key in parts, so parts of 150 rows
+    assert HotKeys(rows, ["k"]).parts.count() == 0
+
+
 def test_bounded_join_both_ways(spark, monkeypatch):
     rows, small = spark.createDataFrame([(i, i % 3) for i in range(50)], "id bigint, k bigint"), spark.createDataFrame([(0, "x"), (1, "y")], "k bigint, name string")
     want = sorted((i % 3, i, "xy"[i % 3]) for i in range(50) if i % 3 < 2)
     assert sorted(map(tuple, bounded_join(rows, small, ["k"], ["id"]).select("k", "id", "name").collect())) == want
     monkeypatch.setattr("quern.operators.bounded.BROADCAST_BYTES", 1)
-    assert sorted(map(tuple, bounded_join(rows, small, ["k"], ["id"]).select("k", "id", "name").collect())) == want
+    for task_rows in (1 << 20, 4):
+        monkeypatch.setattr("quern.operators.bounded.TASK_ROWS", task_rows)
+        assert sorted(map(tuple, bounded_join(rows, small, ["k"], ["id"]).select("k", "id", "name").collect())) == want
 
 
 @pytest.mark.parametrize("values", [[5, 3, 3, None, 9], ["b", "a", None], []])
@@ -137,10 +152,11 @@ def brute(refs, parents):
     return out
 
 
-@pytest.mark.parametrize(("block", "sent"), [(64, 1 << 20), (2, 0)])
-def test_orphans_against_brute_force(spark, monkeypatch, block, sent):
+@pytest.mark.parametrize(("block", "sent", "task_rows"), [(64, 1 << 20, 1 << 20), (2, 0, 3)])
+def test_orphans_against_brute_force(spark, monkeypatch, block, sent, task_rows):
     monkeypatch.setattr(orphans, "PERIOD_BLOCK", block)
     monkeypatch.setattr("quern.operators.bounded.BROADCAST_BYTES", sent)
+    monkeypatch.setattr("quern.operators.bounded.TASK_ROWS", task_rows)
     rng = random.Random(3)
     parents = []
     for key in [*range(1, 40), *range(1, 20)]:
@@ -152,6 +168,11 @@ def test_orphans_against_brute_force(spark, monkeypatch, block, sent):
         at = DAY + timedelta(hours=rng.randrange(-2000, 2000))
         refs.append((i, rng.choice([None, 7, 7, *range(1, 50)]), rng.choice([at] * 9 + [None]), "x", "y", 0))
     refs += refs[:50]
+    # many records and parents of one key within one hour
+    for i in range(40):
+        refs.append((3000 + i, 950, DAY + timedelta(seconds=rng.randrange(3600)), "", "", 0))
+        parents.append((950, DAY + timedelta(seconds=rng.randrange(3600)), DAY + timedelta(seconds=rng.randrange(3600))))
+    parents.append((950, DAY - timedelta(hours=5), DAY + timedelta(minutes=7)))
     refs.append((2000, 900, datetime(9999, 12, 31), "", "", 0))
     # times on the borders of a month and of a parent's span
     parents.append((900, datetime(2024, 4, 1), datetime(2024, 5, 1)))
@@ -162,6 +183,22 @@ def test_orphans_against_brute_force(spark, monkeypatch, block, sent):
     assert sum(r["orphans"] for r in orphan_report(found).collect()) == len(rows)
 
 
+def test_orphans_when_clocks_change(spark):
+    """Times with a zone: the hour that comes twice, in Berlin on 2024-10-27, and the one that is left out."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        at = lambda rows, names: spark.createDataFrame(rows, "k bigint, a string, b string").select("k", *(F.to_timestamp(c).alias(n) for c, n in zip("ab", names)))
+        parents = at([(1, "2024-10-27T00:40:00Z", "2024-10-27T01:10:00Z"), (1, "2024-03-31T00:30:00Z", "2024-03-31T01:30:00Z")], ["since", "until"])
+        times = ["2024-10-27T00:30:00Z", "2024-10-27T00:50:00Z", "2024-10-27T01:05:00Z", "2024-10-27T01:20:00Z", "2024-03-31T00:10:00Z", "2024-03-31T00:45:00Z", "2024-03-31T01:15:00Z", "2024-03-31T01:45:00Z"]
+        refs = at([(1, t, t) for t in times], ["at", "copy"]).withColumn("id", F.unix_timestamp("at"))
+        found = find_orphans([References("t", refs, "id", "k", "at")], parents, "k", "since", "until")
+        want = {datetime.fromisoformat(times[i]).timestamp() for i in (0, 3, 4, 7)}
+        assert {float(r["record_id"]) for r in found.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_orphans_of_empty_tables(spark):
     none, some = spark.createDataFrame([], REFS), spark.createDataFrame([(1, 5, DAY, "", "", 0)], REFS)
     parents = spark.createDataFrame([], PARENTS)
