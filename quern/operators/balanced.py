@@ -3,16 +3,19 @@
 Rows are first combined where they are read: an Arrow pass turns each chunk of
 rows into one partial state per key, so a key with a third of all rows shrinks
 to one state per chunk before anything is shuffled. The states are then range
-partitioned on (grouping, key, order) by sampled quantiles. The order, which
-tells chunks apart, lets a heavy key spread over several partitions, and no
+partitioned on (grouping, key, order) by sampled quantiles, the key standing
+there as its 64-bit hash, so that the sample that Spark brings to the driver
+has rows of one small size however long keys are. The order, which tells
+chunks apart, lets a heavy key spread over several partitions, and no
 partition is much larger than another. Each partition is sorted and merged in
-one streaming pass. Only its first and its last key can continue in a
-neighbour; those boundary states, at most two a partition, are stitched by a
+one streaming pass. Only its first and its last key (or keys, where they share
+a hash) can continue in a neighbour; those boundary states are stitched by a
 last small aggregation.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -125,38 +128,40 @@ def _combiner(groupings: dict[int, list[int]], valued: bool) -> Callable[[Iterat
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges the states of each key of a sorted partition; marks the first and the last key as edges."""
+    """Merges the states of each key of a sorted partition; marks keys with the first or the last hash as edges."""
     names = ["grouping", "key", "n", "n_values", "total", "edge"]
-    borders, held, first = Boundaries(), None, True
+    borders, held, first = Boundaries(), None, None
 
-    def out(grouping: np.ndarray, key: pa.Array, sums: list[np.ndarray], edge: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(grouping), key, *map(pa.array, sums), pa.array(edge)], names)
+    def out(places: np.ndarray, keys: pa.Array, sums: list[np.ndarray], last: bool) -> pa.RecordBatch:
+        edge = np.full(len(keys), True) if last else (places == first).all(axis=0)
+        return pa.record_batch([pa.array(places[0]), keys, *map(pa.array, sums), pa.array(edge)], names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        grouping, key = flat(batch.column("grouping")), flat(batch.column("key"))
-        starts = borders.starts([grouping, key])
+        grouping, mark, key = (flat(batch.column(c)) for c in ("grouping", "mark", "key"))
+        starts = borders.starts([grouping, mark, key])
         goes_on = not starts[0]
         starts[0] = True
         at = np.flatnonzero(starts)
-        groups, keys = grouping.to_numpy()[at], key.take(pa.array(at))
+        places, keys = np.stack([grouping.to_numpy()[at], mark.to_numpy()[at]]), key.take(pa.array(at))
         sums = [np.add.reduceat(flat(batch.column(c)).to_numpy(), at) for c in ("n", "n_values", "total")]
-        if held is not None:
-            if goes_on:
+        if held is None:
+            first = places[:, :1]
+        else:
+            if goes_on:  # the last key held goes on
                 for s, h in zip(sums, held[2], strict=True):
-                    s[0] += h[0]
-            else:
-                groups, keys = np.concatenate([held[0], groups]), pa.concat_arrays([held[1], keys])
-                sums = [np.concatenate([h, s]) for h, s in zip(held[2], sums, strict=True)]
-        last = len(groups) - 1
-        held = groups[last:], keys.slice(last), [s[last:] for s in sums]
-        if last:
-            edge = np.zeros(last, dtype=bool)
-            edge[0], first = first, False
-            yield out(groups[:last], keys.slice(0, last), [s[:last] for s in sums], edge)
+                    h[-1] += s[0]
+            new = 1 if goes_on else 0
+            places, keys = np.concatenate([held[0], places[:, new:]], axis=1), pa.concat_arrays([held[1], keys.slice(new)])
+            sums = [np.concatenate([h, s[new:]]) for h, s in zip(held[2], sums, strict=True)]
+        # keys with the last hash wait; more than one only where hashes collide
+        done = len(keys) - int((places == places[:, -1:]).all(axis=0)[::-1].argmin() or len(keys))
+        held = places[:, done:], keys.slice(done), [s[done:].copy() for s in sums]
+        if done:
+            yield out(places[:, :done], keys.slice(0, done), [s[:done] for s in sums], False)
     if held is not None:
-        yield out(held[0], held[1], held[2], np.array([True]))
+        yield out(*held, True)
 
 
 def _plain(df: DataFrame, name: str, alias: str) -> Column:
@@ -172,6 +177,11 @@ def _plain(df: DataFrame, name: str, alias: str) -> Column:
     return column.alias(alias)
 
 
+def key_mark() -> Column:
+    """What stands for a key in range partitioning."""
+    return F.xxhash64("key")
+
+
 def balanced_states(inputs: Sequence[Input], partitions: int | None = None) -> DataFrame:
     """Complete count, count of values and sum per (grouping, key).
 
@@ -197,9 +207,8 @@ def balanced_states(inputs: Sequence[Input], partitions: int | None = None) -> D
         states = part if states is None else states.unionByName(part)
     if states is None:
         raise ValueError("balanced_states needs an input")
-    order = ["grouping", "key", "ord"]
-    spread = states.repartitionByRange(partitions or partitions_for(states.sparkSession, size), *order)
-    merged = materialize(spread.sortWithinPartitions(*order).mapInArrow(_merge, MERGED))
+    spread = states.withColumn("mark", key_mark()).repartitionByRange(partitions or partitions_for(states.sparkSession, size), "grouping", "mark", "ord")
+    merged = materialize(spread.sortWithinPartitions("grouping", "mark", "key").mapInArrow(_merge, MERGED))
     inner = merged.filter(~F.col("edge")).drop("edge")
     stitched = merged.filter("edge").groupBy("grouping", "key").agg(F.sum("n").alias("n"), F.sum("n_values").alias("n_values"), F.sum("total").alias("total"))
     return inner.unionByName(stitched).withColumn("total", F.when(F.col("n_values") > 0, F.col("total")))
@@ -234,9 +243,10 @@ def exchange_counts(spark: SparkSession, exchanges: DataFrame, table: Callable[[
     ``exchanges`` has a row per planned exchange (exchange_id, input_table,
     key_columns as positions); it is plan metadata, of the size of a query
     plan, and read to the driver. Every input table is scanned once for all of
-    its exchanges. An exchange without key columns, of an unknown table or with
-    a position that the table lacks has no keys; an empty list of key columns
-    puts all rows under one key. Columns: exchange_id, key, n, total.
+    its exchanges. An exchange without an id or key columns (NULL), of an
+    unknown table or with a position that the table lacks has no keys, and a
+    warning names it; an empty list of key columns puts all rows under one key.
+    Columns: exchange_id, key, n, total.
     """
     plans: dict[str, dict[int, list[str]]] = {}
     frames: dict[str, DataFrame | None] = {}
@@ -246,6 +256,7 @@ def exchange_counts(spark: SparkSession, exchanges: DataFrame, table: Callable[[
             frames[name] = table(name) if name is not None else None
         df, positions = frames[name], row["key_columns"]
         if df is None or positions is None or row["exchange_id"] is None or any(p is None or not 0 <= p < len(df.columns) for p in positions):
+            warnings.warn(f"exchange {row['exchange_id']} on columns {positions} of table {name} can't be worked out and has no keys", stacklevel=2)
             continue
         plans.setdefault(name, {})[row["exchange_id"]] = [df.columns[p] for p in positions]
     inputs = [Input(frames[name], "amount" if "amount" in frames[name].columns else None, g) for name, g in plans.items()]

@@ -70,6 +70,21 @@ def test_balanced_one_key_over_many_partitions(spark, monkeypatch):
     assert len(parts) >= 5 and parts[-1] < 2500  # the one key is spread, and no task has most of it
 
 
+@pytest.mark.parametrize("marks", [1, 3])
+def test_balanced_keys_that_share_a_hash(spark, monkeypatch, marks):
+    monkeypatch.setattr("quern.operators.balanced.CHUNK_ROWS", 10)
+    monkeypatch.setattr(balanced, "key_mark", lambda: F.pmod(F.xxhash64("key"), F.lit(marks)))
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"), F.lit(1.0).alias("v")).repartition(8)
+    want = {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
+    for batch in (10_000, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            found = balanced_group_by(rows, ["k"], "v", 8).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(found) == len(want) and {r["k"]: r["n"] for r in found} == want and all(r["total"] == r["n"] for r in found)
+
+
 def test_partitions_follow_the_size(spark, tmp_path):
     spark.range(1000).write.parquet(str(tmp_path / "t"))
     size = source_bytes(spark.read.parquet(str(tmp_path / "t")).filter("id > 5"))
@@ -102,7 +117,8 @@ def test_balanced_nan_and_null_values(spark):
 def test_exchange_counts(spark):
     table = spark.createDataFrame([(1, None, 2.0), (1, "b", None), (1, None, 3.0)], "id bigint, key string, amount double")
     plans = spark.createDataFrame([(1, "t", [1, 0]), (2, "t", [0]), (3, "none", [0]), (4, "t", [9]), (5, "t", None), (6, "t", []), (7, None, [0])], "exchange_id bigint, input_table string, key_columns array<bigint>")
-    found = exchange_counts(spark, plans, lambda name: table if name == "t" else None)
+    with pytest.warns(UserWarning, match="exchange 4 on columns"):
+        found = exchange_counts(spark, plans, lambda name: table if name == "t" else None)
     rows = {(r["exchange_id"], r["key_text"]): (r["n"], r["total"]) for r in heavy_keys(found).collect()}
     assert rows == {(1, "null|1"): (2, 5.0), (1, "b|1"): (1, None), (2, "1"): (3, 5.0), (6, ""): (3, 5.0)}
     assert exchange_counts(spark, plans.filter("exchange_id = 3"), lambda name: None).count() == 0
