@@ -207,8 +207,9 @@ def balanced_states(inputs: Sequence[Input], partitions: int | None = None) -> D
         states = part if states is None else states.unionByName(part)
     if states is None:
         raise ValueError("balanced_states needs an input")
-    spread = states.withColumn("mark", key_mark()).repartitionByRange(partitions or partitions_for(states.sparkSession, size), "grouping", "mark", "ord")
-    merged = materialize(spread.sortWithinPartitions("grouping", "mark", "key").mapInArrow(_merge, MERGED))
+    spread = states.repartitionByRange(partitions or partitions_for(states.sparkSession, size), "grouping", key_mark(), "ord")
+    sorted_ = spread.drop("ord").withColumn("mark", key_mark()).sortWithinPartitions("grouping", "mark", "key")  # the hash is cheaper to work out again than to shuffle
+    merged = materialize(sorted_.mapInArrow(_merge, MERGED))
     inner = merged.filter(~F.col("edge")).drop("edge")
     stitched = merged.filter("edge").groupBy("grouping", "key").agg(F.sum("n").alias("n"), F.sum("n_values").alias("n_values"), F.sum("total").alias("total"))
     return inner.unionByName(stitched).withColumn("total", F.when(F.col("n_values") > 0, F.col("total")))
