@@ -3,8 +3,8 @@
 A set of identifiers is kept as sorted 64-bit hashes in delta-coded runs (see
 ``runs``), cut into segments by the hash's high bits, so that a set of any
 size is many runs of bounded size. Partial sets per (group, day) are merged to
-any span of days, set of groups or both by the union of their runs, segment by
-segment, and a count is the sum of the segments' lengths. Two identifiers
+any span of days, set of groups or both by the k-way union of their runs,
+segment by segment, and a count is the sum of the segments' lengths. Two identifiers
 count as one only where their hashes collide. With n distinct identifiers that
 happens for at most n (n - 1) / 2^65 pairs in expectation (birthday bound),
 which also bounds the probability that a count is not exact.
@@ -32,8 +32,8 @@ BATCH_BYTES = 8 << 20
 
 
 def segment_bits(rows: int) -> int:
-    """High bits of the hash that name a segment, for a table of so many rows."""
-    return min(20, max(0, (max(rows, 1) - 1) // ROWS_PER_SEGMENT).bit_length())
+    """High bits of the hash that name a segment, for a table of so many rows (bounds runs up to 2^51 rows)."""
+    return min(31, max(0, (max(rows, 1) - 1) // ROWS_PER_SEGMENT).bit_length())
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,42 +49,47 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _union(width: int):
-    """Unites the runs of equal keys in sorted batches; the run is the last of ``width + 1`` columns."""
+    """Unites the runs of equal keys in sorted batches; the run is the last of ``width + 1`` columns.
+
+    The only run of a key passes as it is, coded. The last key of a batch stays open.
+    """
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borders, names = Boundaries(), None
         held_keys, held = None, None
 
-        def out(keys: list[pa.Array], values: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([*keys, runs.encode(values, starts)], names)
+        def out(keys: list[pa.Array], values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([*keys, runs.encode(values, np.cumsum(counts) - counts)], names)
 
         for batch in _bounded(batches):
             names = batch.schema.names
-            keys = [flat(c) for c in batch.columns[:width]]
+            keys, coded = [flat(c) for c in batch.columns[:width]], flat(batch.column(width))
             new = borders.starts(keys)
-            values, counts = runs.decode(flat(batch.column(width)))
-            group = np.repeat(np.cumsum(new), counts)
-            if held is not None:  # the key open from the batch before is group 0
-                values, group = np.concatenate([held, values]), np.concatenate([np.zeros(len(held), dtype=group.dtype), group])
-            order = np.lexsort((values, group))
-            values, group = values[order], group[order]
-            fresh = np.ones(len(values), dtype=bool)
-            fresh[1:] = (values[1:] != values[:-1]) | (group[1:] != group[:-1])
-            values, group = values[fresh], group[fresh]
-            at = np.flatnonzero(new)
-            firsts = [k.take(pa.array(at)) for k in keys]
+            if held is not None and new[0]:
+                yield out(held_keys, held, np.array([len(held)]))
+                held = None
+            new[0] = True
+            group = np.cumsum(new) - 1
+            first, last = np.flatnonzero(new), group[-1]
+            alone = np.bincount(group) == 1
+            alone[last] = False
             if held is not None:
-                firsts = [pa.concat_arrays([h, f]) for h, f in zip(held_keys, firsts, strict=True)]
-            elif group.size:
-                group = group - 1
-            starts = np.flatnonzero(np.diff(group, prepend=-1))
-            # the last key stays open
-            open_at = starts[-1]
-            if len(starts) > 1:
-                yield out([f.slice(0, len(starts) - 1) for f in firsts], values[:open_at], starts[:-1])
-            held_keys, held = [f.slice(len(starts) - 1) for f in firsts], values[open_at:]
+                alone[0] = False
+            single = pa.array(first[alone])
+            if len(single):
+                yield pa.record_batch([*(k.take(single) for k in keys), coded.take(single)], names)
+            several = np.flatnonzero(~alone[group])
+            values, counts = runs.decode(coded.take(pa.array(several)))
+            number = np.cumsum(np.diff(group[several], prepend=group[several[0]]) > 0)
+            if held is not None:
+                values, counts, number = np.concatenate([held, values]), np.concatenate([[len(held)], counts]), np.concatenate([[0], number])
+            values, counts = runs.union(values, counts, number)
+            firsts = [k.take(pa.array(first[~alone])) for k in keys]
+            if len(counts) > 1:
+                yield out([k.slice(0, len(counts) - 1) for k in firsts], values[: -counts[-1]], counts[:-1])
+            held_keys, held = [k.slice(len(counts) - 1) for k in firsts], values[-counts[-1] :].copy()
         if held is not None:
-            yield out(held_keys, held, np.array([0]))
+            yield out(held_keys, held, np.array([len(held)]))
 
     return unite
 

@@ -15,13 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.packing import best_fill
 from quern.operators.bounded import bounded_join
 
 #: Texts to be sorted together in one task.
 RANGE_TEXTS = 1 << 16
 
-#: Tokens after a source's cut that are looked through for texts that fit; bounds the work of a task.
-TOP_UP_TOKENS = 1 << 21
+#: Tokens on either side of a source's cut among whose texts the closest sum is looked for; bounds the work of a task.
+AROUND_TOKENS = 1 << 16
 
 
 def positions(texts: DataFrame, seed: int = 0, range_texts: int = RANGE_TEXTS) -> DataFrame:
@@ -50,7 +51,8 @@ def budgets(texts: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     ``targets`` has mix_name, source, weight, max_repeats; weights are relative
     within a mix, and count as 0 where NULL, NaN, infinite or negative; a NULL
     max_repeats sets no cap. A source named twice in a mix counts once, with
-    the sum of its weights and its lowest cap.
+    the sum of its weights and its lowest cap. A NULL source is none: targets
+    can't name it, and its texts take no part.
 
     Without ``total_tokens`` a mix has as many tokens as its sources with a
     weight hold together, or fewer if a source's capped texts could not give
@@ -86,38 +88,43 @@ def budgets(texts: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     return known.select("mix_name", "source", "target_share", "held", "max_repeats", F.floor(budget + 1e-6).cast("bigint").alias("budget"), in_reach.alias("in_reach"))
 
 
-def _top_up(rows: pd.DataFrame) -> pd.DataFrame:
-    """Fills what the texts wholly before the cut leave of one budget, from the texts on and after the cut."""
+def _closest(rows: pd.DataFrame) -> pd.DataFrame:
+    """Chooses, of the texts around the cut of one budget, those whose sizes come closest to what the others leave of it."""
     rows = rows.sort_values(["begins", "id", "n_tokens"], kind="stable").reset_index(drop=True)
-    gap, chosen = int(rows["rest"].iloc[0] - rows["begins"].iloc[0]), [0] * len(rows)
-    sizes = rows["n_tokens"].tolist()
-    for i, n in enumerate(sizes):
-        if n <= gap:
-            chosen[i], gap = 1, gap - n
-    over = [(n, i) for i, n in enumerate(sizes) if not chosen[i]]
-    if over and min(over)[0] < 2 * gap:  # one text too long that brings the source nearer
-        chosen[min(over)[1]] = 1
+    sizes = rows["n_tokens"].astype("int64")
+    counts = {int(n): int(k) for n, k in sizes[sizes > 0].value_counts().items()}
+    # the texts before those tried are used, and the first one tried begins where they end
+    gap = int(rows["rest"].iloc[0] - rows["begins"].iloc[0])
+    left = best_fill(sorted(counts), counts, gap, max(counts, default=0))
+    chosen = []
+    for n in sizes.tolist():
+        chosen.append(int(left.get(n, 0) > 0))
+        if chosen[-1]:
+            left[n] -= 1
     return rows.assign(uses=(rows["rounds"] + chosen).astype("int32"))[["mix_name", "source", "id", "n_tokens", "uses"]]
 
 
-def mix(placed: DataFrame, plan: DataFrame) -> DataFrame:
+def mix(placed: DataFrame, plan: DataFrame, around_tokens: int = AROUND_TOKENS) -> DataFrame:
     """The selection: mix_name, source, id, n_tokens, uses (how often the text is used).
 
     Each text is used once for each full round of its budget, and once more
-    if it ends before the cut of the last round. The text on the cut would miss
-    the budget by its length; so the texts that begin within TOP_UP_TOKENS after
-    the cut are tried in order and used where they fit, and at last the
-    shortest of the others if that brings the source nearer to its budget.
+    if it comes before the cut of the last round. A text across the cut would
+    miss the budget by its length; so the texts that begin or end within
+    ``around_tokens`` of the cut are chosen by the sum that comes closest to
+    the budget (a subset-sum search over bitsets). A source, or a last round,
+    of no more tokens than that gets the best sum that its whole texts allow.
+    The search takes memory and time by ``around_tokens``, which is the
+    same for a source of any size.
     """
-    wanted = plan.filter("budget > 0 AND held > 0").select("mix_name", "source", "budget", "held", "max_repeats")
+    wanted = plan.filter("budget > 0 AND held > 0").select("mix_name", "source", "budget", "held")
     wanted = wanted.withColumn("rounds", F.floor(F.col("budget") / F.col("held"))).withColumn("rest", F.col("budget") - F.col("rounds") * F.col("held"))
     both = bounded_join(placed, wanted, ["source"], ["id"])
-    whole = F.col("begins") + F.col("n_tokens") <= F.col("rest")
-    tried = ~whole & (F.col("rest") > 0) & (F.col("begins") < F.col("rest") + TOP_UP_TOKENS) & (F.col("max_repeats").isNull() | (F.col("rounds") < F.col("max_repeats")))
+    before = F.col("begins") + F.col("n_tokens") <= F.col("rest") - around_tokens
+    tried = (F.col("rest") > 0) & ~before & (F.col("begins") < F.col("rest") + around_tokens)
     names = ["mix_name", "source", "id", "n_tokens"]
-    sure = both.filter(~tried).select(*names, (F.col("rounds") + whole.cast("int")).cast("int").alias("uses"))
-    around = both.filter(tried).select(*names, "begins", "rest", "rounds").groupBy("mix_name", "source").applyInPandas(_top_up, sure.schema)
-    return sure.unionByName(around).filter("uses > 0")
+    sure = both.filter(~tried).select(*names, (F.col("rounds") + (before & (F.col("rest") > 0)).cast("int")).cast("int").alias("uses"))
+    near = both.filter(tried).select(*names, "begins", "rest", "rounds").groupBy("mix_name", "source").applyInPandas(_closest, sure.schema)
+    return sure.unionByName(near).filter("uses > 0")
 
 
 def share_report(selection: DataFrame, plan: DataFrame) -> DataFrame:

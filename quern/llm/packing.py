@@ -25,18 +25,19 @@ WINDOW_PIECES = 1 << 14
 PACKED = "container_kind string, capacity_tokens int, container_id bigint, id {id}, piece int, first_token bigint, n_tokens bigint"
 
 
-def best_fill(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
-    """The multiset of the lengths at hand whose sum comes closest to ``room`` without exceeding it.
+def best_fill(lengths: list[int], counts: dict[int, int], room: int, over: int = 0) -> dict[int, int]:
+    """The multiset of the lengths at hand whose sum comes closest to ``room`` and exceeds it by ``over`` at most.
 
     ``lengths`` is sorted. They are taken from the longest that fits, and the
     search ends as soon as ``room`` can be filled exactly; short ones are kept
-    for later containers.
+    for later containers. Of two sums as close the smaller one is taken.
     """
-    reach, full = 1, (1 << (room + 1)) - 1
+    top = room + over
+    reach, full = 1, (1 << (top + 1)) - 1
     stages: list[tuple[int, int, int]] = []
-    for i in range(bisect_right(lengths, room) - 1, -1, -1):
+    for i in range(bisect_right(lengths, top) - 1, -1, -1):
         length = lengths[i]
-        most = min(counts[length], room // length)
+        most = min(counts[length], top // length)
         stages.append((length, most, reach))
         step = 1
         while most > 0:  # 1, 2, 4, ... copies and the rest: every count up to the most
@@ -45,7 +46,10 @@ def best_fill(lengths: list[int], counts: dict[int, int], room: int) -> dict[int
             most, step = most - take, step * 2
         if reach >> room & 1:
             break
-    total, chosen = reach.bit_length() - 1, {}
+    total, chosen = (reach & ((1 << (room + 1)) - 1)).bit_length() - 1, {}
+    beyond = reach >> (room + 1)
+    if beyond and (above := (beyond & -beyond).bit_length()) < room - total:
+        total = room + above
     for length, most, before in reversed(stages):
         copies = next(k for k in range(most + 1) if total >= k * length and before >> (total - k * length) & 1)
         if copies:

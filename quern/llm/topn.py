@@ -5,7 +5,8 @@ pass as Arrow batches through a counter that emits the first N distinct rows
 of each group and holds no group, only its position in the current one. The
 pass runs twice. The first runs where rows are read, so that a group with a
 third of all rows leaves N rows a task before the shuffle; the second runs
-after hash partitioning by group.
+after hash partitioning by group. Without groups the second is a distributed
+top-k over the N rows of each task.
 """
 
 from __future__ import annotations
@@ -68,6 +69,8 @@ def top_n(df: DataFrame, group: Sequence[str], score: str, identifier: str, n: i
     order = [*keys, F.col(s).desc() if largest else F.col(s).asc(), F.col(i).asc_nulls_first()]
     keep, schema = _first_n(n, len(keys)), rows.schema
     local = rows.sortWithinPartitions(*order).mapInArrow(keep, schema)
-    placed = local.repartition(*keys) if keys else local.coalesce(1)
-    best = placed.sortWithinPartitions(*order).mapInArrow(keep, schema)
+    if keys:
+        best = local.repartition(*keys).sortWithinPartitions(*order).mapInArrow(keep, schema)
+    else:  # the n best of each task are distinct and few; Spark takes the best of them task by task
+        best = local.distinct().orderBy(*order).limit(n)
     return best.select(*(F.col(b).alias(a) for a, b in zip(names, plain, strict=True)))

@@ -13,6 +13,7 @@ import pytest
 from comparing import assert_same, views
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.llm import distinct, plans, runs, visual
@@ -108,6 +109,16 @@ def test_top_n_without_groups_or_rows(spark):
     df = spark.createDataFrame([(1, 2), (2, 9), (3, 9)], "id bigint, s int")
     assert sorted(r["id"] for r in top_n(df, [], "s", "id", 2).collect()) == [2, 3]
     assert top_n(df.limit(0), ["id"], "s", "id", 2).count() == 0
+    assert top_n(df, [], "s", "id", 0).count() == 0 and top_n(df.limit(0), [], "s", "id", 3).count() == 0
+
+
+def test_top_n_without_groups_reads_in_many_tasks(spark):
+    """Rows equal in score and identifier are one, and the first stage keeps the input's partitions."""
+    df = spark.range(3000).select((F.col("id") % 1500).alias("id"), ((F.col("id") % 1500) % 40).cast("double").alias("s")).repartition(7)
+    found = top_n(df, [], "s", "id", 50)
+    assert {tuple(r) for r in found.collect()} == {(float(39 - i // 37), 39 - i // 37 + 40 * (i % 37)) for i in range(50)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and "SinglePartition" not in plan.partition("MapInArrow")[2]
 
 
 # distinct counts
@@ -125,6 +136,15 @@ def test_runs_round_trip(sets):
     assert part.tolist() == sets[-1].tolist() and n.tolist() == [len(sets[-1])]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.lists(st.one_of(st.integers(0, 9), st.integers(0, 2**64 - 1)), min_size=1, max_size=12, unique=True), min_size=1, max_size=9), min_size=1, max_size=5))
+def test_union_of_runs(groups):
+    parts = [sorted(run) for group in groups for run in group]
+    values, counts = runs.union(np.array([v for p in parts for v in p], dtype=np.uint64), np.array([len(p) for p in parts]), np.repeat(np.arange(len(groups)), [len(g) for g in groups]))
+    want = [sorted(set().union(*group)) for group in groups]
+    assert counts.tolist() == [len(w) for w in want] and values.tolist() == [v for w in want for v in w]
+
+
 def test_runs_are_small_when_dense():
     values = np.arange(0, 10**7, 100, dtype=np.uint64)
     assert runs.encode(values, np.array([0])).nbytes < 1.2 * len(values)
@@ -152,7 +172,7 @@ def test_distinct_counts_of_text_and_nothing(spark):
     df = spark.createDataFrame([("a", "x" * 100_000), ("a", ""), ("a", None)], "g string, who string")
     assert [tuple(r)[:2] for r in count_sets(partial_sets(df, [F.col("g")], "who", 0), ["g"]).collect()] == [("a", 2)]
     assert count_sets(partial_sets(df.limit(0), [F.col("g")], "who", 0), ["g"]).count() == 0
-    assert [segment_bits(n) for n in (0, 1 << 20, (1 << 20) + 1, 1 << 24, 1 << 60)] == [0, 0, 1, 4, 20]
+    assert [segment_bits(n) for n in (0, 1 << 20, (1 << 20) + 1, 1 << 24, 1 << 50, 1 << 60)] == [0, 0, 1, 4, 30, 31]
 
 
 # packing
@@ -167,6 +187,15 @@ def test_best_fill_is_the_closest(counts, room):
     assert sum(n * k for n, k in chosen.items()) == max(s for s in sums if s <= room)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 3), min_size=1, max_size=5), st.integers(0, 60), st.integers(0, 50))
+def test_best_fill_over_the_room(counts, room, over):
+    chosen = best_fill(sorted(counts), counts, room, over)
+    assert all(0 < k <= counts[n] for n, k in chosen.items())
+    sums = {sum(n * k for n, k in zip(counts, ks)) for ks in itertools.product(*(range(c + 1) for c in counts.values()))}
+    assert sum(n * k for n, k in chosen.items()) == min((s for s in sums if s <= room + over), key=lambda s: (abs(s - room), s))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=60))
 def test_patterns_use_every_length_once(sizes):
@@ -257,6 +286,45 @@ def test_mix_reaches_its_shares(spark, total):
         assert report["m", "small"]["in_reach"] == (2 * held["small"] >= 1200)
 
 
+def test_mix_comes_as_close_as_whole_texts_allow(spark):
+    """Small sources against all subsets of their texts, some with full rounds before the last."""
+    rng = random.Random(8)
+    rows, targets = [], []
+    for s in range(12):
+        rows += [(100 * s + i, f"s{s}", rng.choice([7, 50, 900, rng.randrange(1, 5000)])) for i in range(rng.randrange(1, 9))]
+        targets += [(m, f"s{s}", rng.random(), cap) for m, cap in (("free", None), ("capped", 2))]
+    texts = spark.createDataFrame(rows, "id bigint, source string, n_tokens bigint")
+    placed, goals = positions(texts), spark.createDataFrame(targets, "mix_name string, source string, weight double, max_repeats int")
+    for total in (None, 20_000):
+        plan = budgets(texts, goals, total)
+        chosen, report = mix(placed, plan).toPandas(), share_report(mix(placed, plan), plan).collect()
+        if total is None:
+            held = defaultdict(int)
+            for _, s, n in rows:
+                held[s] += n
+            want = plans.expected_budgets(held, targets)
+            assert {(r["mix_name"], r["source"]): r["budget"] for r in report} == {k: int(b + 1e-6) for k, b in want.items()}
+        for r in report:
+            sizes = [n for _, s, n in rows if s == r["source"]]
+            rounds = r["budget"] // sum(sizes)
+            sums = {sum(c) for k in range(len(sizes) + 1) for c in itertools.combinations(sizes, k)}
+            assert abs(r["tokens"] - r["budget"]) == min(abs(rounds * sum(sizes) + x - r["budget"]) for x in sums)
+            if r["max_repeats"] is not None and r["texts"]:
+                uses = chosen[(chosen["mix_name"] == r["mix_name"]) & (chosen["source"] == r["source"])]["uses"]
+                assert uses.max() <= r["max_repeats"]
+
+
+def test_mix_keeps_the_random_order_away_from_the_cut(spark):
+    texts = spark.createDataFrame([(i, "s", 10 + i % 3) for i in range(2000)], "id bigint, source string, n_tokens bigint")
+    goals = spark.createDataFrame([("m", "s", 1.0, None)], "mix_name string, source string, weight double, max_repeats int")
+    placed, plan = positions(texts).cache(), budgets(texts, goals, 8001)
+    used = {r["id"] for r in mix(placed, plan, around_tokens=100).collect()}
+    for r in placed.collect():
+        if r["begins"] + r["n_tokens"] <= 7901 or r["begins"] >= 8101:
+            assert (r["id"] in used) == (r["begins"] < 8001)
+    assert sum(10 + i % 3 for i in used) == 8001
+
+
 def test_mix_of_nothing(spark):
     texts = spark.createDataFrame([], "id bigint, source string, n_tokens bigint")
     targets = spark.createDataFrame([("m", "a", 1.0, 1)], "mix_name string, source string, weight double, max_repeats int")
@@ -270,7 +338,7 @@ def test_mix_of_nothing(spark):
 ALIKE = [
     ("ＡＢＣ １２３", "ABC 123"), ("é", "é"), ("a​b­c﻿", "abc"), ("a b　c d", "a b c d"), ("ﬁne ﬂow", "fine flow"), ("раура1", "paypa1"),
     ("Τοm", "Tom"), ("ｶﾞｷﾞ", "ガギ"), ("K", "K"), ("가", "가"), ("不", "不"), ("e͏́", "é"), ("well‑made", "well-made"), ("a\r\nb\rc", "a\nb\nc"),
-    ("ё", "ë"), ("ɡo", "go"), ("，。", ",｡"), ("ắ", "ắ"), ("\ttab", " tab"), ("Ⅳ", "IV"),
+    ("ё", "ë"), ("ɡo", "go"), ("ꓐꓮ", "BA"), ("Ⲟⲟ", "Oo"), ("ⲣ", "p"), ("ѵ", "v"), ("ѡ", "w"), ("Ꮒ", "h"), ("ꮯ", "c"), ("գ", "q"), ("ρ", "p"), ("υ", "u"), ("a⠀b", "a b"), ("，。", ",｡"), ("ắ", "ắ"), ("\ttab", " tab"), ("Ⅳ", "IV"),
 ]
 UNLIKE = [("A", "a"), ("é", "e"), ("x²", "x2"), ("①", "1"), ("™", "TM"), ("a  b", "a b"), ("a\n\nb", "a\nb"), ("ß", "ss"), ("O", "0"), ("l", "1"), ("!", "¡"), ("й", "и"), ("で", "て"), ("½", "1/2"), ("ſ", "s"), ("´", " ́"), ("ㄱㅏ", "가"), ("п", "n"), ("—", "-")]
 
@@ -293,12 +361,26 @@ def test_form_is_stable_and_ignores_composition(text):
     assert visual_form(unicodedata.normalize("NFD", text)) == form
 
 
+def test_forms_together_are_those_apart(monkeypatch):
+    texts = ["é", "", "\uffff", "a\uffffé", "\r", "\n", "\u0301x", "ﷺ" * 9, "\u200b", "plain", "x" * 50 + "ｘ" * 50]
+    apart = [visual_form(t) for t in texts]
+    for together, lookup in ((1, 1), (5, 3), (1 << 20, 7)):
+        monkeypatch.setattr(visual, "TOGETHER_CHARS", together)
+        monkeypatch.setattr(visual, "LOOKUP_CHARS", lookup)
+        assert visual.visual_forms(texts) == apart
+    assert visual.visual_forms(texts[4:6]) == ["\n", "\n"]
+
+
 def test_folding_is_an_option():
     assert visual_form("Straße", fold_case=True) == visual_form("STRASSE", fold_case=True)
 
 
-def test_forms_and_pairs_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(visual, "CHUNK", 3)
+@pytest.mark.parametrize(("chunk", "block", "sent"), [(3, 2, 0), (2, 1, 0), (4096, 256, 1 << 20)])
+def test_forms_and_pairs_against_brute_force(spark, monkeypatch, chunk, block, sent):
+    monkeypatch.setattr(visual, "CHUNK", chunk)
+    monkeypatch.setattr(visual, "BLOCK", block)
+    monkeypatch.setattr("quern.operators.bounded.BROADCAST_BYTES", sent)
+    monkeypatch.setattr("quern.operators.bounded.TASK_ROWS", 1 << 20 if sent else 5)
     base = ["hello wörld", "hеllo wörld", "hello wörld", "hello wörld", "Hello wörld", "other", "оther", "", "  ", "​", None, "x" * 200_000, "х" * 200_000]
     rows = [(i, base[i % len(base)]) for i in range(100)] + [(None, "other"), (5, "other")]
     df = spark.createDataFrame(rows, "doc bigint, body string").withColumn("form", F.lit("clash"))
@@ -316,3 +398,41 @@ def test_forms_and_pairs_against_brute_force(spark, monkeypatch):
     assert alike_pairs(forms.limit(0)).count() == 0
 
 
+
+
+# the registered checks turn red where an operator is broken
+
+
+def holds(name, spark, monkeypatch, **broken):
+    for attribute, value in broken.items():
+        monkeypatch.setattr(plans, attribute, value)
+    try:
+        assert_same(plans.QUERIES[name](spark, FOLDER), views(FOLDER), plans.SQL[name])
+    except AssertionError:
+        return False
+    finally:
+        monkeypatch.undo()
+    return True
+
+
+def test_rank_check_can_fail(spark, monkeypatch):
+    shifted = lambda sketches, wanted, k=1024: percentiles(sketches, {n: max(0.0, r - 0.2) for n, r in wanted.items()}, k)
+    assert not holds("p2_rank_check", spark, monkeypatch, percentiles=shifted)
+
+
+def test_packing_check_can_fail(spark, monkeypatch):
+    one_each = lambda sizes, kinds: pack(sizes, kinds).withColumn("container_id", F.row_number().over(Window.partitionBy("container_kind").orderBy("id", "piece")).cast("bigint"))
+    assert not holds("p6_check", spark, monkeypatch, pack=one_each)
+    assert not holds("p6_check", spark, monkeypatch, pack=lambda sizes, kinds: pack(sizes.withColumn("n_tokens", F.col("n_tokens") - 1), kinds))
+
+
+def test_mixing_check_can_fail(spark, monkeypatch):
+    wrong = lambda texts, targets, total=None: budgets(texts, targets.withColumn("weight", F.sqrt("weight")), total)
+    assert not holds("p7_check", spark, monkeypatch, budgets=wrong)
+    assert not holds("p7_check", spark, monkeypatch, mix=lambda placed, plan: mix(placed, plan).limit(3))
+
+
+def test_form_check_can_fail(spark, monkeypatch):
+    for wrong in (lambda texts, fold_case=False: list(texts), lambda texts, fold_case=False: ["same"] * len(texts), lambda texts, fold_case=False: [unicodedata.normalize("NFKC", t).casefold() for t in texts]):
+        monkeypatch.setattr(visual, "visual_forms", wrong)
+        assert not holds("p8_check", spark, monkeypatch)
