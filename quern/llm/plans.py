@@ -88,7 +88,7 @@ def p5_distinct_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers per day, per region, per month and over all days (sets of days), and per family of
     regions whose names begin alike (sets of regions): kind, set_key, n_distinct, collision_bound."""
     sales = table(spark, sf_dir, "sales")
-    parts = materialize(partial_sets(sales, [F.col("region"), F.date_format("sold_at", "yyyy-MM-dd").alias("day")], "customer_id", segment_bits(sales.count())))
+    parts = materialize(partial_sets(sales, [F.col("region"), F.to_date("sold_at").alias("day")], "customer_id", segment_bits(sales.count())))
     as_set = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("set_key"))
     keys = ["kind", "set_key"]
 

@@ -71,53 +71,23 @@ def decode(runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return total - np.repeat(base, counts), counts
 
 
-def _places(haystack: np.ndarray, low: np.ndarray, high: np.ndarray, needles: np.ndarray) -> np.ndarray:
-    """For each needle, the first position within its own sorted stretch [low, high) whose value is not smaller."""
-    low, high = low.copy(), high.copy()
-    open_ = np.flatnonzero(low < high)
-    while len(open_):
-        middle = (low[open_] + high[open_]) >> 1
-        right = haystack[middle] < needles[open_]
-        low[open_[right]] = middle[right] + 1
-        high[open_[~right]] = middle[~right]
-        open_ = open_[low[open_] < high[open_]]
-    return low
-
-
-def _merge_pairs(left: np.ndarray, left_n: np.ndarray, right: np.ndarray, right_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The unions of run i of the left with run i of the right, for all i at a time (a right run may be empty)."""
-    left_end, pair = np.cumsum(left_n), np.repeat(np.arange(len(right_n)), right_n)
-    at = _places(left, (left_end - left_n)[pair], left_end[pair], right)
-    known = np.zeros(len(right), dtype=bool)
-    inside = at < left_end[pair]
-    known[inside] = left[at[inside]] == right[inside]
-    right, pair, at = right[~known], pair[~known], at[~known]
-    # in the merged runs, one after the other, a right value has before it the left ones smaller and the right ones earlier
-    target = at + np.arange(len(right))
-    out = np.empty(len(left) + len(right), dtype=np.uint64)
-    from_left = np.ones(len(out), dtype=bool)
-    from_left[target] = False
-    out[target], out[from_left] = right, left
-    return out, left_n + np.bincount(pair, minlength=len(left_n))
-
-
-def _taken(values: np.ndarray, counts: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    return values[np.repeat(chosen, counts)]
-
-
 def union(values: np.ndarray, counts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """k-way union of the sorted runs of each group (numbered 0, 1, ... in ascending order): values, and how many each group has.
 
-    A tournament: in each round the runs of a group are merged in pairs, in
-    all groups at a time, so k runs take log2(k) rounds. Nothing is sorted.
+    The runs of a group follow one another, so a natural merge (numpy's stable
+    sort of 64-bit numbers is one) finds them as they are and merges k of them
+    in log2(k) passes; a group of one run is passed over.
     """
-    while len(group) and (group[1:] == group[:-1]).any():
-        first = np.flatnonzero(np.diff(group, prepend=-1))
-        odd = (np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group))))) % 2 == 1
-        stays = np.flatnonzero(~odd)
-        right_n = np.zeros(len(stays), dtype=counts.dtype)
-        followed = np.append(odd[1:], False)[stays]
-        right_n[followed] = counts[odd]
-        values, counts = _merge_pairs(_taken(values, counts, ~odd), counts[stays], _taken(values, counts, odd), right_n)
-        group = group[stays]
-    return values, counts
+    if not len(group):
+        return values, counts
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    ends = np.append(np.cumsum(counts)[first[1:] - 1], len(values))
+    starts = np.append(0, ends[:-1])
+    values = values.copy()
+    several = np.diff(np.append(first, len(group))) > 1
+    for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+        values[a:b].sort(kind="stable")
+    fresh = np.ones(len(values), dtype=bool)
+    fresh[1:] = values[1:] != values[:-1]
+    fresh[starts] = True
+    return values[fresh], np.add.reduceat(fresh, starts, dtype=np.int64)
