@@ -26,7 +26,7 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 
 class HotKeys:
-    """How many parts each key's rows need, measured on ``rows`` (read once more, only its keys).
+    """How many parts each key's rows need, measured on ``rows`` (read again, only its keys, if there are enough rows for a hot key).
 
     Keys are known by a hash; where two share one, both are split, which is
     harmless. Only keys of several parts are kept: at most HOT_KEYS of 12 bytes
@@ -34,13 +34,16 @@ class HotKeys:
     """
 
     def __init__(self, rows: DataFrame, keys: Sequence[str]) -> None:
-        self.keys = list(keys)
-        counts = materialize(rows.select(F.xxhash64(*self.keys).alias("hot_key")).groupBy("hot_key").agg(F.count(F.lit(1)).alias("rows")))
-        total = counts.agg(F.sum("rows")).first()[0] or 0
+        self.keys, self.parts = list(keys), None
+        total = rows.count()
         part = max(TASK_ROWS, -(-total // HOT_KEYS))
-        self.parts = counts.filter(F.col("rows") > part).select("hot_key", F.ceil(F.col("rows") / part).cast("int").alias("hot_parts"))
+        if total > part:
+            counts = rows.select(F.xxhash64(*self.keys).alias("hot_key")).groupBy("hot_key").agg(F.count(F.lit(1)).alias("rows"))
+            self.parts = materialize(counts.filter(F.col("rows") > part).select("hot_key", F.ceil(F.col("rows") / part).cast("int").alias("hot_parts")))
 
     def _known(self, df: DataFrame) -> tuple[DataFrame, Column]:
+        if self.parts is None:
+            return df.withColumns({"hot_key": F.lit(0), "hot_parts": F.lit(1)}), F.lit(1)
         known = df.withColumn("hot_key", F.xxhash64(*self.keys)).join(F.broadcast(self.parts), "hot_key", "left")
         return known, F.coalesce("hot_parts", F.lit(1))
 
@@ -55,16 +58,16 @@ class HotKeys:
         return known.withColumn(name, F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot_key", "hot_parts")
 
 
-def bounded_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "inner", written: bool = False) -> DataFrame:
+def bounded_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "inner", written: bool = False, fits: bool | None = None) -> DataFrame:
     """Inner or left semi join of ``rows`` to ``small`` on columns of the same names.
 
-    ``small`` is written (unless it is already) and measured. Within the bound
+    ``small`` is written (unless it is already) and measured (unless it is known to fit). Within the bound
     it is broadcast; beyond it, the rows of a key are counted, and those of a
     hot one are spread by a hash of ``spread_by`` over as many tasks as they
     need, each with a copy of the key's small rows. NULL keys match nothing.
     """
-    small = small if written else materialize(small)
-    if fits_broadcast(small):
+    small = small if written or fits else materialize(small)
+    if fits or (fits is None and fits_broadcast(small)):
         return rows.join(F.broadcast(small), list(keys), how)
     hot = HotKeys(rows, keys)
     return hot.split(rows, spread_by, "join_part").join(hot.copy(small, "join_part"), [*keys, "join_part"], how).drop("join_part")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import bitmaps
 from quern.operators.arrowruns import Boundaries, flat
-from quern.operators.bounded import HotKeys, bounded_join
+from quern.operators.bounded import HotKeys, bounded_join, fits_broadcast
 from quern.operators.materialize import materialize
 from quern.operators.numbering import numbered
 
@@ -202,9 +202,10 @@ def find_orphans(references: Sequence[References], parents: DataFrame, key: str,
     left_over = materialize(surviving_codes(referring, parent_bitmaps(existing, sorted(periods))).join(codes, "code").select("name", "period", "key"))
 
     # within the bound, records are filtered by the survivors where they are read
-    suspects = bounded_join(records, left_over, ["name", "period", "key"], ["record", "time"], "left_semi", written=True)
+    fits = fits_broadcast(left_over)
+    suspects = bounded_join(records, left_over, ["name", "period", "key"], ["record", "time"], "left_semi", written=True, fits=fits)
     suspects = materialize(suspects.select("name", "period", "record", "key", "time").distinct())
-    near = bounded_join(spans, left_over.select("key").distinct(), ["key"], ["since", "until"], "left_semi")
+    near = bounded_join(spans, left_over.select("key").distinct(), ["key"], ["since", "until"], "left_semi", fits=fits or None)
     orphans = _without_parent(suspects, near)
     return orphans.select(
         F.col("name").alias("table_name"), F.when(F.col("period") != NO_PERIOD, F.col("period")).alias("year_month"), F.col("record").alias("record_id")

@@ -29,7 +29,10 @@ def memory_frame(spark: SparkSession, data, schema: T.StructType | pa.Schema | s
         frame = _from_arrow(spark, pa.concat_tables(tables) if tables else wanted.empty_table())
     else:
         frame = spark.createDataFrame(data, schema)
-    return frame.repartition(partitions) if partitions else frame
+    if not partitions:
+        return frame
+    # Spark cuts local rows into as many slices as it has threads; fewer need no shuffle
+    return frame.coalesce(partitions) if partitions <= spark.sparkContext.defaultParallelism else frame.repartition(partitions)
 
 
 def _from_arrow(spark: SparkSession, table: pa.Table) -> DataFrame:

@@ -133,8 +133,10 @@ def test_hot_keys_are_split_by_their_counts(spark, monkeypatch):
     assert parts["hot"] <= set(range(10)) and len(parts["hot"]) >= 8 and parts[None] == {0, 1, 2} and parts["k1"] == {0}
     copies = hot.copy(spark.createDataFrame([("hot",), ("k1",), (None,)], "k string"))
     assert sorted((r["k"] or "", r["part"]) for r in copies.collect()) == sorted([("hot", i) for i in range(10)] + [("k1", 0)] + [("", i) for i in range(3)])
-    monkeypatch.setattr("quern.operators.bounded.HOT_KEYS", 1)  # at most one key in parts, so parts of 150 rows
-    assert HotKeys(rows, ["k"]).parts.count() == 0
+    monkeypatch.setattr("quern.operators.bounded.HOT_KEYS", 2)  # at most two keys in parts, so parts of 75 rows
+    assert [r["hot_parts"] for r in HotKeys(rows, ["k"]).parts.collect()] == [2]
+    monkeypatch.setattr("quern.operators.bounded.TASK_ROWS", 150)
+    assert HotKeys(rows, ["k"]).parts is None
 
 
 def test_bounded_join_both_ways(spark, monkeypatch):

@@ -3,10 +3,10 @@
 import pytest
 from comparing import assert_same, views
 
-from quern.plans import engine, general
+from quern.plans import control, engine, general
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = engine.QUERIES | general.QUERIES, engine.SQL | general.SQL
+QUERIES, SQL = engine.QUERIES | control.QUERIES | general.QUERIES, engine.SQL | control.SQL | general.SQL
 
 
 @pytest.fixture(scope="module")
