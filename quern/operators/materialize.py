@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +33,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of the written table.
 
     Later reads survive the loss of executors, prune columns and know the
-    table's size. The table is removed when the driver's Python ends.
+    table's size. The table is removed where a ``scratch`` scope ends, at
+    ``release``, or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
@@ -47,9 +50,19 @@ def remember(spark: SparkSession, path: str) -> None:
     _written.append((spark, path))
 
 
-def release() -> None:
-    """Remove all tables written so far."""
-    while _written:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """A scope at whose end the tables written in it are removed; use up (write, collect) its DataFrames inside."""
+    kept = len(_written)
+    try:
+        yield
+    finally:
+        release(kept)
+
+
+def release(kept: int = 0) -> None:
+    """Remove the tables written so far, but for the first ``kept`` ones."""
+    while len(_written) > kept:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm

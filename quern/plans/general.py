@@ -40,30 +40,23 @@ def p1_key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("exchange_id", key_text(F.col("key")).alias("key_text"), "n", F.round("total", 2).alias("total"))
 
 
-#: The exchanges of the fixed table hash_exchanges, as SQL has no way to name a column by a value: id, table, columns.
-EXCHANGES = [
-    (1, "shop_orders", ["customer_id"]),
-    (2, "customers", ["customer_id"]),
-    (3, "keyed", ["category", "code"]),
-    (4, "keyed", ["category"]),
-    (5, "sales", ["customer_id"]),
-    (6, "sales", ["region", "customer_id"]),
-    (7, "sales", ["region"]),
-    (8, "shop_orders", ["order_id"]),
-    (9, "keyed", ["code", "category"]),
-    (10, "keyed", ["code"]),
-    (11, "customers", ["tier"]),
-    (12, "sales", ["id"]),
-]
+#: Columns of the tables that hash_exchanges may name, in file order; key_columns are positions in them.
+COLUMNS = {
+    "sales": ["id", "region", "customer_id", "amount", "active", "sold_at", "loaded_at"],
+    "shop_orders": ["order_id", "customer_id", "amount", "ordered_at", "loaded_at"],
+    "customers": ["customer_id", "name", "tier", "created_at", "deleted_at"],
+    "keyed": ["row_id", "category", "code", "amount"],
+}
 
 
 def _exchange_sql() -> str:
-    parts = []
-    for number, name, keys in EXCHANGES:
-        text = " || '|' || ".join(f"coalesce(CAST({k} AS VARCHAR), 'null')" for k in keys)
-        total = "CAST(NULL AS DOUBLE)" if name == "customers" else "round(sum(amount), 2)"
-        parts.append(f"SELECT CAST({number} AS BIGINT) AS exchange_id, {text} AS key_text, count(*) AS n, {total} AS total FROM {name} GROUP BY {', '.join(keys)}")
-    return " UNION ALL ".join(parts)
+    """Keys and counts of whatever exchanges the table hash_exchanges has."""
+    rows = " UNION ALL ".join(
+        f"SELECT '{name}' AS input_table, [{', '.join(f'CAST({c} AS VARCHAR)' for c in columns)}] AS texts, {'amount' if 'amount' in columns else 'NULL::DOUBLE AS amount'} FROM {name}"
+        for name, columns in COLUMNS.items()
+    )
+    key = "array_to_string([coalesce(texts[p + 1], 'null') for p in key_columns], '|')"
+    return f"SELECT exchange_id, {key} AS key_text, count(*) AS n, round(sum(amount), 2) AS total FROM ({rows}) JOIN hash_exchanges USING (input_table) GROUP BY ALL"
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

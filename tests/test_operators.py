@@ -13,7 +13,7 @@ from quern.operators import balanced, bitmaps, orphans
 from quern.operators.arrowruns import Boundaries
 from quern.operators.balanced import balanced_group_by, exchange_counts, heavy_keys
 from quern.operators.bounded import HotKeys, bounded_join
-from quern.operators.materialize import materialize
+from quern.operators.materialize import materialize, scratch
 from quern.operators.sizing import advisory_bytes, partitions_for, source_bytes
 from quern.operators.orphans import References, dense_codes, find_orphans, orphan_report
 
@@ -124,6 +124,16 @@ def test_exchange_counts(spark):
     assert exchange_counts(spark, plans.filter("exchange_id = 3"), lambda name: None).count() == 0
 
 
+def test_written_tables_go_with_their_scope(spark):
+    kept = materialize(spark.range(3))
+    with scratch():
+        inside = materialize(spark.range(5))
+        assert inside.count() == 5
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="FAILED_READ_FILE|does not exist|PATH_NOT_FOUND"):
+        inside.count()
+
+
 def test_hot_keys_are_split_by_their_counts(spark, monkeypatch):
     monkeypatch.setattr("quern.operators.bounded.TASK_ROWS", 10)
     rows = spark.createDataFrame([(i, "hot" if i < 95 else None if i < 120 else f"k{i % 7}") for i in range(150)], "id bigint, k string")

@@ -3,6 +3,7 @@
 import json
 import threading
 import time
+from datetime import datetime
 
 import pandas as pd
 import pyarrow as pa
@@ -92,6 +93,23 @@ def test_memory_forms(session):
     assert counts == [2, 2, 0]
     with pytest.raises(PlanningError):
         session.register_memory("x", [pa.record_batch({"a": [1]}), pa.record_batch({"b": [2]})])
+    rows = [(1, None, float("nan"), "x", True), [None, 2, 1.5, None, None]]
+    session.register_memory("m", rows, "a bigint, b int, c double, d string, e boolean", 2)
+    frame = session.table("m").to_df()
+    assert [tuple(map(repr, r)) for r in frame.collect()] == [tuple(map(repr, r)) for r in rows] and frame.rdd.getNumPartitions() == 2
+    assert "LocalTableScan" in frame._jdf.queryExecution().executedPlan().toString()
+    session.register_memory("t", [(datetime(2024, 1, 1), {"k": 1})], "at timestamp_ntz, m map<string,int>", 50)  # not plain: Spark's own conversion
+    assert session.table("t").to_df().collect()[0]["m"] == {"k": 1}
+    with pytest.raises(Exception, match="CANNOT_ACCEPT|can not accept|FIELD_DATA_TYPE"):
+        session.register_memory("bad", [("x",)], "a bigint")
+
+
+def test_a_join_of_small_local_tables_needs_no_shuffle(session):
+    session.register_memory("l", [(i,) for i in range(2000)], "id bigint", 4)
+    session.register_memory("r", [(i,) for i in range(0, 2000, 2)], "id bigint", 4)
+    frame = session.sql("SELECT l.id FROM l JOIN r ON l.id = r.id").to_df()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and frame.count() == 1000
 
 
 def test_last_registration_wins_and_names_ignore_case(session):
