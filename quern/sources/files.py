@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -33,9 +34,22 @@ def read_csv(spark: SparkSession, path: str | Path, schema: T.StructType | str |
     return _found(lambda: spark.read.option("header", True).option("mode", "FAILFAST").schema(schema).csv(str(path)), path)
 
 
+#: Schemas of single local files by path, time of change and size; reading a footer is a Spark job, often longer than a small query.
+_schemas: dict[tuple[str, int, int], T.StructType] = {}
+
+
 def read_parquet(spark: SparkSession, path: str | Path) -> DataFrame:
-    """Parquet; filters, columns and row groups are pruned by the scan."""
-    return _found(lambda: spark.read.parquet(str(path)), path)
+    """Parquet; filters, columns and row groups are pruned by the scan. The schema of a file that has not changed is not read again."""
+    known = None
+    if os.path.isfile(path):
+        state = os.stat(path)
+        known = (os.path.abspath(path), state.st_mtime_ns, state.st_size)
+        if known in _schemas:
+            return spark.read.schema(_schemas[known]).parquet(str(path))
+    found = _found(lambda: spark.read.parquet(str(path)), path)
+    if known:
+        _schemas[known] = found.schema
+    return found
 
 
 def _found(read, path) -> DataFrame:

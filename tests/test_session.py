@@ -78,6 +78,15 @@ def test_parquet_row_groups_without_nulls_or_matches(session, files):
     assert session.execute_sql("SELECT value FROM nullable WHERE value > 100").rows() == []
 
 
+def test_a_parquet_file_that_changes_is_read_anew(session, tmp_path):
+    path = tmp_path / "x.parquet"
+    for table, want in ((pa.table({"a": [1, 2]}), [(1,), (2,)]), (pa.table({"b": ["x"]}), [("x",)])):
+        pq.write_table(table, path)
+        for _ in range(2):
+            session.register_parquet("x", path)
+            assert session.execute_sql("SELECT * FROM x").rows() == want
+
+
 def test_missing_and_unknown_files(session, tmp_path):
     with pytest.raises(NotFoundError):
         session.register_parquet("x", tmp_path / "no.parquet")
