@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.errors import NotFoundError
 from quern.operators.balanced import exchange_counts, heavy_keys, key_text
 from quern.operators.orphans import References, find_orphans, orphan_report
+from quern.sources.files import read_parquet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _exchange_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def named(name: str) -> DataFrame | None:
         try:
             return table(spark, sf_dir, name)
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(error):
-                return None
-            raise
+        except NotFoundError:
+            return None
 
     return exchange_counts(spark, table(spark, sf_dir, "hash_exchanges"), named)
 
