@@ -9,6 +9,8 @@ import argparse
 import os
 import sys
 
+from pyspark.sql import SparkSession
+
 from quern.errors import PlanningError, QuernError
 from quern.session import DEFAULT_BATCH_ROWS, DEFAULT_MEMORY_LIMIT_BYTES, Session, SessionConfig
 from quern.sources.files import INFER_ROWS
@@ -35,11 +37,12 @@ def parser() -> argparse.ArgumentParser:
     return found
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    """Exit code of one call; ``spark`` is a session to run in, for callers that have one."""
     args = parser().parse_args(argv)
     try:
         config = SessionConfig(args.batch_size, args.channel_capacity, args.workers, args.distributed, args.memory_limit_bytes, args.master)
-        session = Session(config)
+        session = Session(config, spark)
         if args.input:
             session.register_file(args.table, args.input, args.format, args.schema, args.infer_rows or None)
         for spec in args.register:

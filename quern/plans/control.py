@@ -117,7 +117,7 @@ def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = io.StringIO()
     sql = "SELECT n.n_name AS nation, r.r_name AS region FROM nation n LEFT JOIN other r ON n.n_regionkey = r.r_regionkey ORDER BY nation"
     with contextlib.redirect_stdout(out):
-        code = cli.main(["--input", f"{sf_dir}/nation.parquet", "--table", "nation", "--register", f"other={sf_dir}/region.parquet", "--sql", sql])
+        code = cli.main(["--input", f"{sf_dir}/nation.parquet", "--table", "nation", "--register", f"other={sf_dir}/region.parquet", "--sql", sql], spark)
     rows = [[cell.strip() for cell in line.strip("|").split("|")] for line in out.getvalue().splitlines() if line.startswith("|")]
     return spark.createDataFrame([(*row, code) for row in rows[1:]], ", ".join(f"{name} string" for name in rows[0]) + ", code int")
 
