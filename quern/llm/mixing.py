@@ -95,7 +95,7 @@ def _closest(rows: pd.DataFrame) -> pd.DataFrame:
     counts = {int(n): int(k) for n, k in sizes[sizes > 0].value_counts().items()}
     # the texts before those tried are used, and the first one tried begins where they end
     gap = int(rows["rest"].iloc[0] - rows["begins"].iloc[0])
-    left = best_fill(sorted(counts), counts, gap, max(counts, default=0))
+    left = best_fill(sorted(counts), counts, gap, min(gap, max(counts, default=0)))  # a sum further beyond is no nearer than none
     chosen = []
     for n in sizes.tolist():
         chosen.append(int(left.get(n, 0) > 0))
@@ -113,8 +113,8 @@ def mix(placed: DataFrame, plan: DataFrame, around_tokens: int = AROUND_TOKENS)
     ``around_tokens`` of the cut are chosen by the sum that comes closest to
     the budget (a subset-sum search over bitsets). A source, or a last round,
     of no more tokens than that gets the best sum that its whole texts allow.
-    The search takes memory and time by ``around_tokens``, which is the
-    same for a source of any size.
+    The search takes memory and time by ``around_tokens`` and the longest text
+    near the cut, whatever the size of the source.
     """
     wanted = plan.filter("budget > 0 AND held > 0").select("mix_name", "source", "budget", "held")
     wanted = wanted.withColumn("rounds", F.floor(F.col("budget") / F.col("held"))).withColumn("rest", F.col("budget") - F.col("rounds") * F.col("held"))

@@ -192,8 +192,8 @@ def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     selection, _, sizes = _mixed(spark, sf_dir)
     targets = table(spark, sf_dir, "mix_targets")
-    named = targets.select("source").distinct()
-    sources = sizes.join(F.broadcast(named), "source").groupBy("source").agg(F.sum("n_tokens").alias("held"), F.max("n_tokens").alias("longest"))
+    named = bounded_join(sizes, targets.select("source").distinct(), ["source"], ["id"], "left_semi")
+    sources = named.groupBy("source").agg(F.sum("n_tokens").alias("held"), F.max("n_tokens").alias("longest"))
     sources = sources.collect()  # as many rows as the targets name sources
     given = {(r["mix_name"], r["source"]): r for r in selection.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.max("uses").alias("uses")).collect()}
     rows, held, longest = [], {r["source"]: r["held"] for r in sources}, {r["source"]: r["longest"] for r in sources}
