@@ -2,15 +2,14 @@
 
 Rows are first combined where they are read: an Arrow pass turns each chunk of
 rows into one partial state per key, so a key with a third of all rows shrinks
-to one state per chunk before anything is shuffled. The states are then range
-partitioned on (grouping, key, order) by sampled quantiles, the key standing
-there as its 64-bit hash, so that the sample that Spark brings to the driver
-has rows of one small size however long keys are. The order, which tells
-chunks apart, lets a heavy key spread over several partitions, and no
-partition is much larger than another. Each partition is sorted and merged in
-one streaming pass. Only its first and its last key (or keys, where they share
-a hash) can continue in a neighbour; those boundary states are stitched by a
-last small aggregation.
+to one state per chunk before anything is shuffled. The states are range
+partitioned on (grouping, key, order) by quantiles of a sample of the rows, the
+key standing there as its 64-bit hash, so that bounds are of one small size
+however long keys are. The order, a number that tells chunks apart, lets a heavy
+key spread over several partitions, and no partition is much larger than
+another. Each partition is merged on its own. Only keys on a bound between two
+partitions can have states in both; those edge states are stitched by a last
+small aggregation.
 """
 
 from __future__ import annotations
@@ -18,8 +17,10 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -27,15 +28,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.operators.arrowruns import Boundaries, flat
+from quern.operators.arrowruns import flat
 from quern.operators.materialize import materialize
 from quern.operators.sizing import partitions_for, source_bytes
 
 #: Rows that one task combines at a time; bounds the memory of the first pass.
 CHUNK_ROWS = 1 << 18
 
-STATE = "grouping bigint, key string, ord bigint, n bigint, n_values bigint, total double"
-MERGED = "grouping bigint, key string, n bigint, n_values bigint, total double, edge boolean"
+#: States expected of the sample for each partition, and at most in all (of 32 bytes each, at the driver).
+SAMPLE_STATES, MOST_SAMPLE_STATES = 100, 1 << 20
+
+STATE = "range int, edge boolean, grouping bigint, key string, n bigint, n_values bigint, total double"
+SAMPLE = "grouping bigint, mark bigint, n bigint, task bigint"
 
 #: A composite key is written as text: a part per column, each NULL or VALUE
 #: mark first, parts joined by SEP; ESC keeps values that hold SEP apart.
@@ -86,82 +90,103 @@ def key_text(key: Column) -> Column:
     return F.when(key == "", F.lit("")).otherwise(F.array_join(plain, "|"))
 
 
-def _combiner(groupings: dict[int, list[int]], valued: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def key_marks(keys: pa.Array) -> np.ndarray:
+    """What stands for encoded keys in the order of ranges."""
+    return pd.util.hash_array(keys.to_numpy(zero_copy_only=False), categorize=False).view(np.int64)
+
+
+def chunk_order(partition: int, chunk: int) -> int:
+    """The order of a chunk, 32 bits; any run of chunks is spread evenly over them (multiples of irrational numbers)."""
+    return (partition * 0x9E3779B1 + chunk * 0x6A09E667) & 0xFFFFFFFF
+
+
+@dataclass
+class Bounds:
+    """Lower bounds of the ranges after the first, in the order of (grouping, mark, order)."""
+
+    grouping: np.ndarray
+    mark: np.ndarray
+    order: np.ndarray
+
+    def place(self, grouping: int, marks: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The range of each state of a chunk, and whether its key has states in other ranges, too, or may have them."""
+        first, end = np.searchsorted(self.grouping, [grouping, grouping + 1])
+        own = self.mark[first:end]
+        low, high = np.searchsorted(own, marks, "left"), np.searchsorted(own, marks, "right")
+        edge = high > low
+        for i in np.flatnonzero(edge):
+            low[i] += np.searchsorted(self.order[first + low[i] : first + high[i]], order, "right")
+        return (first + low).astype(np.int32), edge
+
+
+def _combined(batches: list[pa.RecordBatch], groupings: dict[int, list[int]], valued: bool) -> Iterator[tuple[int, pa.Table, pa.Array]]:
+    """One state per key of some rows, for each grouping: label, table with count_all, v_count and v_sum, encoded keys."""
+    table = pa.Table.from_batches(batches)
+    columns = [flat(c) for c in table.columns]
+    value = columns[-1] if valued else pa.nulls(table.num_rows, pa.float64())
+    for label, positions in groupings.items():
+        names = [f"k{i}" for i in range(len(positions))]
+        grouped = pa.table([*(columns[p] for p in positions), value], [*names, "v"]).group_by(names, use_threads=False)
+        found = grouped.aggregate([([], "count_all"), ("v", "count"), ("v", "sum")])
+        yield label, found, _encoded([flat(found[name]) for name in names], found.num_rows)
+
+
+def _sampler(groupings: dict[int, list[int]], valued: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for label, found, keys in _combined([batch], groupings, valued):
+                    task = np.full(len(keys), TaskContext.get().partitionId())
+                    yield pa.record_batch([pa.array(np.full(len(keys), label)), pa.array(key_marks(keys)), flat(found["count_all"]).cast(pa.int64()), pa.array(task)], ["grouping", "mark", "n", "task"])
+
+    return sample
+
+
+def _combiner(groupings: dict[int, list[int]], valued: bool, bounds: Bounds) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """groupings: label -> positions of the key columns; the value, if any, is the last column."""
 
     def states(batches: list[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        columns = [flat(c) for c in table.columns]
-        value = columns[-1] if valued else pa.nulls(table.num_rows, pa.float64())
-        for label, positions in groupings.items():
-            names = [f"k{i}" for i in range(len(positions))]
-            grouped = pa.table([*(columns[p] for p in positions), value], [*names, "v"]).group_by(names, use_threads=False)
-            found = grouped.aggregate([([], "count_all"), ("v", "count"), ("v", "sum")])
-            keys = [flat(found[name]) for name in names]
+        for label, found, keys in _combined(batches, groupings, valued):
+            place, edge = bounds.place(label, key_marks(keys), order)
+            counts = [flat(found[c]).cast(pa.int64()) for c in ("count_all", "v_count")]
             total = pc.fill_null(flat(found["v_sum"]).cast(pa.float64()), 0.0)
-            yield pa.record_batch(
-                [
-                    pa.array(np.full(found.num_rows, label)),
-                    _encoded(keys, found.num_rows),
-                    pa.array(np.full(found.num_rows, order)),
-                    flat(found["count_all"]).cast(pa.int64()),
-                    flat(found["v_count"]).cast(pa.int64()),
-                    total,
-                ],
-                ["grouping", "key", "ord", "n", "n_values", "total"],
-            )
+            yield pa.record_batch([pa.array(place), pa.array(edge), pa.array(np.full(len(keys), label)), keys, *counts, total], ["range", "edge", "grouping", "key", "n", "n_values", "total"])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, held, rows = TaskContext.get().partitionId() << 32, [], 0
+        partition, chunk, held, rows = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
             rows += batch.num_rows
             if rows >= CHUNK_ROWS:
-                yield from states(held, order)
-                order, held, rows = order + 1, [], 0
+                yield from states(held, chunk_order(partition, chunk))
+                chunk, held, rows = chunk + 1, [], 0
         if held:
-            yield from states(held, order)
+            yield from states(held, chunk_order(partition, chunk))
 
     return combine
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges the states of each key of a sorted partition; marks keys with the first or the last hash as edges."""
-    names = ["grouping", "key", "n", "n_values", "total", "edge"]
-    borders, held, first = Boundaries(), None, None
+def sampled_bounds(sample: pd.DataFrame, share: float, chunks: dict[int, int], partitions: int) -> Bounds:
+    """Quantiles of the states that rows will combine to, from a ``share`` of the rows: grouping, mark, n, task.
 
-    def out(places: np.ndarray, keys: pa.Array, sums: list[np.ndarray], last: bool) -> pa.RecordBatch:
-        edge = np.full(len(keys), True) if last else (places == first).all(axis=0)
-        return pa.record_batch([pa.array(places[0]), keys, *map(pa.array, sums), pa.array(edge)], names)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        grouping, mark, key = (flat(batch.column(c)) for c in ("grouping", "mark", "key"))
-        starts = borders.starts([grouping, mark, key])
-        goes_on = not starts[0]
-        starts[0] = True
-        at = np.flatnonzero(starts)
-        places, keys = np.stack([grouping.to_numpy()[at], mark.to_numpy()[at]]), key.take(pa.array(at))
-        sums = [np.add.reduceat(flat(batch.column(c)).to_numpy(), at) for c in ("n", "n_values", "total")]
-        if held is None:
-            first = places[:, :1]
-        else:
-            if goes_on:  # the last key held goes on
-                for s, h in zip(sums, held[2], strict=True):
-                    h[-1] += s[0]
-            new = 1 if goes_on else 0
-            places, keys = np.concatenate([held[0], places[:, new:]], axis=1), pa.concat_arrays([held[1], keys.slice(new)])
-            sums = [np.concatenate([h, s[new:]]) for h, s in zip(held[2], sums, strict=True)]
-        # keys with the last hash wait; more than one only where hashes collide
-        done = len(keys) - int((places == places[:, -1:]).all(axis=0)[::-1].argmin() or len(keys))
-        held = places[:, done:], keys.slice(done), [s[done:].copy() for s in sums]
-        if done:
-            yield out(places[:, :done], keys.slice(0, done), [s[:done] for s in sums], False)
-    if held is not None:
-        yield out(*held, True)
+    A key seen n times has about n / share rows, and so many states, but no
+    more than chunks that have it; a key seen once stands for those not seen.
+    There are at least ``chunks`` of a grouping, and one for each task.
+    Quantiles within a key are cut by the order of its chunks.
+    """
+    tasks = sample.groupby("grouping")["task"].nunique()
+    chunks = {label: max(n, tasks.get(label, 0)) for label, n in chunks.items()}
+    keys = sample.groupby(["grouping", "mark"], sort=True)["n"].sum().reset_index()
+    rows, among = keys["n"].to_numpy() / share, keys["grouping"].map(chunks).to_numpy(dtype=float)
+    states = np.where((keys["n"] == 1) & (share < 1), rows, np.minimum(rows, among * -np.expm1(-rows / among)))
+    ends = np.cumsum(states)
+    wanted = np.arange(1, partitions) * (ends[-1] / partitions) if len(ends) else np.empty(0)
+    at = np.minimum(np.searchsorted(ends, wanted), max(len(ends) - 1, 0))
+    within = (wanted - (ends[at] - states[at])) / states[at] if len(ends) else wanted
+    order = (np.clip(within, 0, 1) * 2**32).astype(np.int64)
+    return Bounds(keys["grouping"].to_numpy()[at], keys["mark"].to_numpy()[at], order)
 
 
 def _plain(df: DataFrame, name: str, alias: str) -> Column:
@@ -177,11 +202,6 @@ def _plain(df: DataFrame, name: str, alias: str) -> Column:
     return column.alias(alias)
 
 
-def key_mark() -> Column:
-    """What stands for a key in range partitioning."""
-    return F.xxhash64("key")
-
-
 def balanced_states(inputs: Sequence[Input], partitions: int | None = None) -> DataFrame:
     """Complete count, count of values and sum per (grouping, key).
 
@@ -192,24 +212,29 @@ def balanced_states(inputs: Sequence[Input], partitions: int | None = None) -> D
     Without ``partitions`` their number follows from the inputs' sizes, each
     counted for every grouping, so that a task's share does not grow with them.
     """
-    states, size = None, 0
+    if not inputs:
+        raise ValueError("balanced_states needs an input")
+    selected, size, weight, chunks = [], 0, 0, {}
     for x in inputs:
-        own = source_bytes(x.df)
+        own, rows = source_bytes(x.df), x.df.count()
         size = None if own is None or size is None else size + own * len(x.groupings)
+        weight += rows * len(x.groupings)
         used = list(dict.fromkeys(c for keys in x.groupings.values() for c in keys))
         positions = {label: [used.index(c) for c in keys] for label, keys in x.groupings.items()}
         columns = [_plain(x.df, c, f"k{i}") for i, c in enumerate(used)]
         if x.value is not None:
             columns.append(x.df[f"`{x.value}`"].cast("double").alias("v"))
-        if not columns:
-            columns = [F.lit(1).alias("k0")]
-        part = x.df.select(*columns).mapInArrow(_combiner(positions, x.value is not None), STATE)
-        states = part if states is None else states.unionByName(part)
-    if states is None:
-        raise ValueError("balanced_states needs an input")
-    spread = states.repartitionByRange(partitions or partitions_for(states.sparkSession, size), "grouping", key_mark(), "ord")
-    sorted_ = spread.drop("ord").withColumn("mark", key_mark()).sortWithinPartitions("grouping", "mark", "key")  # the hash is cheaper to work out again than to shuffle
-    merged = materialize(sorted_.mapInArrow(_merge, MERGED))
+        df = x.df.select(*(columns or [F.lit(1).alias("k0")]))
+        selected.append((df, positions, x.value is not None))
+        chunks |= dict.fromkeys(positions, max(1, rows // CHUNK_ROWS))
+    partitions = partitions or partitions_for(inputs[0].df.sparkSession, size)
+    share = min(1.0, min(MOST_SAMPLE_STATES, SAMPLE_STATES * partitions) / max(weight, 1))
+    sample = reduce(DataFrame.unionByName, (df.sample(share, seed=0).mapInArrow(_sampler(positions, valued), SAMPLE) for df, positions, valued in selected))
+    bounds = sampled_bounds(sample.toArrow().to_pandas(), share, chunks, partitions)
+    states = reduce(DataFrame.unionByName, (df.mapInArrow(_combiner(positions, valued, bounds), STATE) for df, positions, valued in selected))
+    # grouping by the range, too, lets each partition be merged where it is
+    merged = states.repartitionById(partitions, F.col("range")).groupBy("range", "edge", "grouping", "key").agg(F.sum("n").alias("n"), F.sum("n_values").alias("n_values"), F.sum("total").alias("total"))
+    merged = materialize(merged.drop("range"))
     inner = merged.filter(~F.col("edge")).drop("edge")
     stitched = merged.filter("edge").groupBy("grouping", "key").agg(F.sum("n").alias("n"), F.sum("n_values").alias("n_values"), F.sum("total").alias("total"))
     return inner.unionByName(stitched).withColumn("total", F.when(F.col("n_values") > 0, F.col("total")))

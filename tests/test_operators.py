@@ -5,6 +5,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -73,7 +74,8 @@ def test_balanced_one_key_over_many_partitions(spark, monkeypatch):
 @pytest.mark.parametrize("marks", [1, 3])
 def test_balanced_keys_that_share_a_hash(spark, monkeypatch, marks):
     monkeypatch.setattr("quern.operators.balanced.CHUNK_ROWS", 10)
-    monkeypatch.setattr(balanced, "key_mark", lambda: F.pmod(F.xxhash64("key"), F.lit(marks)))
+    true_marks = balanced.key_marks
+    monkeypatch.setattr(balanced, "key_marks", lambda keys: true_marks(keys) % marks)
     rows = spark.range(4000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"), F.lit(1.0).alias("v")).repartition(8)
     want = {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
     for batch in (10_000, 7):
@@ -85,6 +87,28 @@ def test_balanced_keys_that_share_a_hash(spark, monkeypatch, marks):
         assert len(found) == len(want) and {r["k"]: r["n"] for r in found} == want and all(r["total"] == r["n"] for r in found)
 
 
+def test_bounds_balance_states():
+    """A key with half of all rows in 1000 chunks, light keys, and a grouping of few keys."""
+    rng = np.random.default_rng(2)
+    marks = rng.integers(-(2**63), 2**63 - 1, 40_000)
+    rows = [np.where(rng.random(200_000) < 0.5, marks[0], rng.choice(marks, 200_000)), rng.choice(marks[:3], 200_000)]
+    share, chunks = 0.02, {1: 1000, 2: 1000}
+    sample = pd.concat([pd.DataFrame({"grouping": g, "mark": r[rng.random(len(r)) < share], "n": 1, "task": 0}) for g, r in zip((1, 2), rows, strict=True)])
+    bounds = balanced.sampled_bounds(sample, share, chunks, 20)
+    sizes, seen = np.zeros(20), {}
+    for chunk in range(1000):
+        for g, r in zip((1, 2), rows, strict=True):
+            own = np.unique(r[chunk::1000])
+            place, edge = bounds.place(g, own, balanced.chunk_order(chunk % 7, chunk // 7))
+            sizes += np.bincount(place, minlength=20)
+            for m, p, e in zip(own.tolist(), place.tolist(), edge.tolist(), strict=True):
+                seen.setdefault((g, m), set()).add((p, e))
+    assert sizes.max() < 2 * sizes.mean() and sizes.min() > 0
+    assert all(len({e for _, e in found}) == 1 and (len(found) == 1 or all(e for _, e in found)) for found in seen.values())
+    nothing = balanced.sampled_bounds(sample[:0], share, chunks, 20)
+    assert nothing.place(1, marks[:5], 7)[0].tolist() == [0] * 5
+
+
 def test_partitions_follow_the_size(spark, tmp_path):
     spark.range(1000).write.parquet(str(tmp_path / "t"))
     size = source_bytes(spark.read.parquet(str(tmp_path / "t")).filter("id > 5"))
