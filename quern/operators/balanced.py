@@ -214,9 +214,11 @@ def balanced_states(inputs: Sequence[Input], partitions: int | None = None) -> D
     """
     if not inputs:
         raise ValueError("balanced_states needs an input")
+    numbers = reduce(DataFrame.unionByName, (x.df.select(F.lit(i).alias("input")) for i, x in enumerate(inputs)))
+    counts = dict(numbers.groupBy("input").count().collect())  # a row for each input
     selected, size, weight, chunks = [], 0, 0, {}
-    for x in inputs:
-        own, rows = source_bytes(x.df), x.df.count()
+    for i, x in enumerate(inputs):
+        own, rows = source_bytes(x.df), counts.get(i, 0)
         size = None if own is None or size is None else size + own * len(x.groupings)
         weight += rows * len(x.groupings)
         used = list(dict.fromkeys(c for keys in x.groupings.values() for c in keys))
