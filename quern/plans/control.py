@@ -9,11 +9,16 @@ from __future__ import annotations
 import contextlib
 import io
 import json
+import pickle
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern import cli
+from quern import cli, sqlfront
 from quern.errors import CancelledError, ResourceExhaustedError, UnsupportedError
 from quern.expr import count_star
 from quern.operators.materialize import remember, shared_dir
@@ -144,11 +149,30 @@ def plan_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(result.distributed, final, partial)], "distributed boolean, stages bigint, partial_and_final boolean")
 
 
+def plan_shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parsed query is plain data: it can be sent elsewhere and built there."""
+    text = "SELECT s.region AS r, COUNT(*) AS n, MIN(c.tier) AS t FROM sales s LEFT JOIN customers c ON s.customer_id = c.customer_id WHERE s.amount > 10 GROUP BY s.region HAVING n > 3"
+    query = pickle.loads(pickle.dumps(sqlfront.parse(text)))
+    return sqlfront.build(query, _session(spark, sf_dir, "sales", "customers").table).to_df()
+
+
+def worker_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of a stage behind an exchange, as they report themselves: how many, how many places, whether any was repeated, rows."""
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, rows = TaskContext.get(), sum(b.num_rows for b in batches)
+        yield pa.record_batch([pa.array([context.partitionId()], pa.int32()), pa.array([context.attemptNumber()], pa.int32()), pa.array([rows], pa.int64())], ["place", "attempt", "rows"])
+
+    placed = _session(spark, sf_dir, "keyed").table("keyed").exchange(12, "category", "code").to_df()
+    tasks = placed.mapInArrow(report, "place int, attempt int, rows bigint")
+    return tasks.agg(F.count("*").alias("tasks"), F.count_distinct("place").alias("places"), F.max("attempt").alias("repeated"), F.sum("rows").alias("rows"))
+
+
 _REGIONS = "SELECT region, count(*) AS n FROM sales WHERE id >= 100 GROUP BY region"
 
 QUERIES = {
     f.__name__: f
-    for f in (registration, result_sink, sort_scope, explain_parts, metrics_rows, memory_limit, cancellation, refusals, config_clamps, command_line, csv_given_schema, exchange_round_trip, plan_reported)
+    for f in (registration, result_sink, sort_scope, explain_parts, metrics_rows, memory_limit, cancellation, refusals, config_clamps, command_line, csv_given_schema, exchange_round_trip, plan_reported, plan_shipped, worker_tasks)
 }
 
 SQL = {
@@ -164,5 +188,7 @@ SQL = {
     "command_line": "SELECT n_name AS nation, r_name AS region, 0::INT AS code FROM nation LEFT JOIN region ON n_regionkey = r_regionkey",
     "csv_given_schema": "SELECT p_brand, count(*) AS n, min(p_name) AS first, max(p_size) AS largest FROM part GROUP BY p_brand",
     "exchange_round_trip": "SELECT category, code, count(*) AS n FROM keyed GROUP BY category, code",
+    "plan_shipped": "SELECT s.region AS r, count(*) AS n, min(c.tier) AS t FROM sales s LEFT JOIN customers c ON s.customer_id = c.customer_id WHERE s.amount > 10 GROUP BY s.region HAVING count(*) > 3",
+    "worker_tasks": "SELECT 12::BIGINT AS tasks, 12::BIGINT AS places, 0::INT AS repeated, count(*) AS rows FROM keyed",
     "plan_reported": "SELECT true AS distributed, 2::BIGINT AS stages, true AS partial_and_final",
 }
