@@ -12,7 +12,7 @@ which also bounds the probability that a count is not exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -27,8 +27,8 @@ from quern.operators.arrowruns import Boundaries, flat
 #: Rows of a table for each segment of the hash space; bounds a run's length, whatever the group.
 ROWS_PER_SEGMENT = 1 << 20
 
-#: Bytes of runs that a task decodes at a time.
-BATCH_BYTES = 8 << 20
+#: Bytes of runs that a task decodes at a time, and rows whose identifiers it puts in runs at a time.
+BATCH_BYTES, CHUNK_ROWS = 8 << 20, 1 << 18
 
 
 def segment_bits(rows: int) -> int:
@@ -94,17 +94,68 @@ def _union(width: int):
     return unite
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], full: Callable[[pa.RecordBatch], int], limit: int) -> Iterator[list[pa.Array]]:
+    """The columns of successive batches together, as long as what ``full`` measures of them stays near ``limit``."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += full(batch)
+        if size >= limit:
+            yield [flat(c) for c in pa.Table.from_batches(held).columns]
+            held, size = [], 0
+    if held:
+        yield [flat(c) for c in pa.Table.from_batches(held).columns]
+
+
+def _codes(keys: Sequence[pa.Array]) -> np.ndarray:
+    """Equal numbers for equal keys, NULL being equal to NULL."""
+    code, known = np.zeros(len(keys[0]), dtype=np.int64), 1
+    for key in keys:
+        distinct = flat(pc.dictionary_encode(key, null_encoding="encode"))
+        if known * len(distinct.dictionary) >= 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+            known = int(code.max()) + 1
+        code = code * len(distinct.dictionary) + distinct.indices.to_numpy()
+        known *= len(distinct.dictionary)
+    return code
+
+
+def _unite_chunks(width: int):
+    """Unites the runs of equal keys among the rows that come together, in any order; the rest is left to ``_union``."""
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+
+        def named() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names[:] = batch.schema.names
+                yield batch
+
+        for columns in _gathered(_bounded(named()), lambda b: b.column(width).nbytes, BATCH_BYTES):
+            code = _codes(columns[:width])
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            new = np.diff(code, prepend=-1) > 0
+            values, counts = runs.decode(columns[width].take(pa.array(order)))
+            values, counts = runs.union(values, counts, np.cumsum(new) - 1)
+            first = pa.array(order[new])
+            yield pa.record_batch([*(c.take(first) for c in columns[:width]), runs.encode(values, np.cumsum(counts) - counts)], names)
+
+    return unite
+
+
 def merge_runs(sets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The union of the runs of equal (keys, segment): keys, segment, run.
 
-    ``sets`` has the keys, ``segment`` and ``run``. Runs are first united
-    where they are, then shuffled by key and segment and united again.
+    ``sets`` has the keys, ``segment`` and ``run``. Runs that are read together
+    are united before the shuffle by key and segment, all of a key after it.
     """
     by = [*keys, "segment"]
     rows = sets.select(*by, "run")
-    unite = _union(len(by))
-    local = rows.sortWithinPartitions(*by).mapInArrow(unite, rows.schema)
-    return local.repartition(*by).sortWithinPartitions(*by).mapInArrow(unite, rows.schema)
+    local = rows.mapInArrow(_unite_chunks(len(by)), rows.schema)
+    return local.repartition(*by).sortWithinPartitions(*by).mapInArrow(_union(len(by)), rows.schema)
 
 
 def partial_sets(df: DataFrame, keys: Sequence[Column], identifier: str, bits: int) -> DataFrame:
@@ -121,25 +172,20 @@ def partial_sets(df: DataFrame, keys: Sequence[Column], identifier: str, bits: i
     schema = reduce(lambda s, f: s.add(f), rows.schema.fields[:-1], type(rows.schema)()).add("run", "binary")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of what arrives sorted by key and segment; a key over several batches gives several runs."""
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [flat(c) for c in batch.columns[:width]]
-            new = Boundaries().starts(columns)
-            group = np.cumsum(new)
-            values = flat(batch.column(width)).to_numpy().view(np.uint64)
+        """A run for each key and segment of a chunk of rows; keys of several chunks get several."""
+        for columns in _gathered(batches, len, CHUNK_ROWS):
+            group, values = _codes(columns[:width]), columns[width].to_numpy().view(np.uint64)
             order = np.lexsort((values, group))
             values, group = values[order], group[order]
             fresh = np.ones(len(values), dtype=bool)
             fresh[1:] = (values[1:] != values[:-1]) | (group[1:] != group[:-1])
-            values, group = values[fresh], group[fresh]
+            values, group, order = values[fresh], group[fresh], order[fresh]
             starts = np.flatnonzero(np.diff(group, prepend=-1))
-            firsts = pa.array(np.flatnonzero(new))
-            yield pa.record_batch([*(c.take(firsts) for c in columns), runs.encode(values, starts)], schema.names)
+            first = pa.array(order[starts])
+            yield pa.record_batch([*(c.take(first) for c in columns[:width]), runs.encode(values, starts)], schema.names)
 
     by = [*names, "segment"]
-    local = rows.sortWithinPartitions(*by).mapInArrow(build, schema)
+    local = rows.mapInArrow(build, schema)
     unite = _union(width)
     return local.repartition(*by).sortWithinPartitions(*by).mapInArrow(unite, schema)
 

@@ -9,6 +9,7 @@ from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from comparing import assert_same, views
 from hypothesis import given, settings
@@ -153,6 +154,7 @@ def test_runs_are_small_when_dense():
 @pytest.mark.parametrize("bits", [0, 3])
 def test_distinct_counts_merge_to_any_set(spark, monkeypatch, bits):
     monkeypatch.setattr(distinct, "BATCH_BYTES", 64)
+    monkeypatch.setattr(distinct, "CHUNK_ROWS", 100)
     rng = random.Random(2)
     rows = [(rng.choice(["hot"] * 9 + [None, "", "b", "c"]), rng.randrange(6), rng.choice([None, 1, 1, *range(500)])) for _ in range(4000)]
     df = spark.createDataFrame(rows, "g string, day int, who bigint").withColumn("segment", F.lit("clash")).repartition(5)
@@ -168,6 +170,14 @@ def test_distinct_counts_merge_to_any_set(spark, monkeypatch, bits):
     assert row["n_distinct"] == n and row["collision_bound"] == n * (n - 1) / 2**65
 
 
+def test_codes_of_keys():
+    rng = random.Random(5)
+    columns = [[rng.choice([None, "", "a", "b"]) for _ in range(500)], [rng.choice([None, *range(9)]) for _ in range(500)], [rng.choice([datetime(2024, 1, d).date() for d in range(1, 9)]) for _ in range(500)]]
+    for keys in (columns, columns[:1], [list(range(500))] * 8):
+        code = distinct._codes([pa.array(c) for c in keys])
+        assert len(set(zip(code.tolist(), *keys))) == len(set(code.tolist())) == len(set(zip(*keys)))
+
+
 def test_distinct_counts_of_text_and_nothing(spark):
     df = spark.createDataFrame([("a", "x" * 100_000), ("a", ""), ("a", None)], "g string, who string")
     assert [tuple(r)[:2] for r in count_sets(partial_sets(df, [F.col("g")], "who", 0), ["g"]).collect()] == [("a", 2)]
