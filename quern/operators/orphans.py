@@ -17,7 +17,6 @@ of survivors, never all records; a key with a third of all rows is one bit.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -35,8 +34,8 @@ from quern.operators.numbering import numbered
 #: Periods that are worked on at a time where a key range is built; bounds the memory of a task.
 PERIOD_BLOCK = 64
 
-#: References without a time and periods without an end are placed here; no parent covers it.
-NO_PERIOD = "none"
+#: References without a time are placed here; no parent covers it.
+NO_PERIOD = -(1 << 30)
 
 
 @dataclass
@@ -60,18 +59,18 @@ def dense_codes(keys: DataFrame, key: str = "key") -> DataFrame:
 
 
 def reference_bitmaps(coded: DataFrame) -> DataFrame:
-    """(name, period, code) -> a container per name, period and key range: (name, period, range, bits)."""
+    """(source, period, code) -> a container per source (table), period (month) and key range: (source, period, range, bits)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borders, held, low = Boundaries(), None, []
 
         def out() -> pa.RecordBatch:
-            return pa.record_batch([*held, pa.array([bitmaps.pack(np.concatenate(low))], pa.binary())], ["name", "period", "range", "bits"])
+            return pa.record_batch([*held, pa.array([bitmaps.pack(np.concatenate(low))], pa.binary())], ["source", "period", "range", "bits"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = [flat(batch.column(c)) for c in ("name", "period", "range")]
+            keys = [flat(batch.column(c)) for c in ("source", "period", "range")]
             code, starts = flat(batch.column("low")).to_numpy(), borders.starts(keys)
             at = np.flatnonzero(starts)
             if len(at) == 0 or at[0] > 0:
@@ -83,18 +82,17 @@ def reference_bitmaps(coded: DataFrame) -> DataFrame:
         if held is not None:
             yield out()
 
-    order = ["name", "period", "range"]
-    placed = coded.select("name", "period", F.shiftright("code", 16).alias("range"), F.col("code").bitwiseAND(bitmaps.BITS - 1).cast("int").alias("low"))
-    return placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(build, "name string, period string, range bigint, bits binary")
+    order = ["source", "period", "range"]
+    placed = coded.select("source", "period", F.shiftright("code", 16).alias("range"), F.col("code").bitwiseAND(bitmaps.BITS - 1).cast("int").alias("low"))
+    return placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(build, "source int, period int, range bigint, bits binary")
 
 
-def parent_bitmaps(coded: DataFrame, periods: Sequence[tuple[str, int, int]]) -> DataFrame:
+def parent_bitmaps(coded: DataFrame, periods: Sequence[int]) -> DataFrame:
     """(code, since, until) -> a container per period and key range of the keys that exist all through the period.
 
-    ``since`` and ``until`` number months; ``periods`` has (name, its month,
-    the month after it). A parent row is tested against a
-    block of periods at once where its range is built, so rows are multiplied
-    by the number of blocks only.
+    ``since``, ``until`` and ``periods`` number months. A parent row is tested
+    against a block of periods at once where its range is built, so rows are
+    multiplied by the number of blocks only.
     """
     blocks = [list(periods[i : i + PERIOD_BLOCK]) for i in range(0, len(periods), PERIOD_BLOCK)]
 
@@ -104,7 +102,7 @@ def parent_bitmaps(coded: DataFrame, periods: Sequence[tuple[str, int, int]]) ->
         def out() -> pa.RecordBatch:
             block, high = held
             full = [i for i in range(len(blocks[block])) if bits[i].any()]
-            names = pa.array([blocks[block][i][0] for i in full], pa.string())
+            names = pa.array([blocks[block][i] for i in full], pa.int32())
             return pa.record_batch([names, pa.array([high] * len(full), pa.int64()), pa.array([bitmaps.pack_bits(bits[i]) for i in full], pa.binary())], ["period", "range", "bits"])
 
         for batch in batches:
@@ -120,8 +118,8 @@ def parent_bitmaps(coded: DataFrame, periods: Sequence[tuple[str, int, int]]) ->
                         yield out()
                     held = tuple(k[int(a)].as_py() for k in keys)
                     bits = np.zeros((len(blocks[held[0]]), bitmaps.BITS), dtype=bool)
-                for i, (_, first, end) in enumerate(blocks[held[0]]):
-                    bits[i, low[a:b][(since[a:b] <= first) & (until[a:b] >= end)]] = True
+                for i, month in enumerate(blocks[held[0]]):
+                    bits[i, low[a:b][(since[a:b] <= month) & (until[a:b] > month)]] = True
         if held is not None:
             yield out()
 
@@ -134,21 +132,21 @@ def parent_bitmaps(coded: DataFrame, periods: Sequence[tuple[str, int, int]]) ->
     )
     if not blocks:
         placed = placed.limit(0)
-    return placed.repartition("block", "range").sortWithinPartitions("block", "range").mapInArrow(build, "period string, range bigint, bits binary")
+    return placed.repartition("block", "range").sortWithinPartitions("block", "range").mapInArrow(build, "period int, range bigint, bits binary")
 
 
 def surviving_codes(references: DataFrame, parents: DataFrame) -> DataFrame:
-    """reference AND-NOT parent per key range and period, decoded: (name, period, code)."""
+    """reference AND-NOT parent per key range and period, decoded: (source, period, code)."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, period, high, left, right in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for source, period, high, left, right in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 left_over = bitmaps.and_not(left, right)
                 if len(left_over):
-                    yield pa.record_batch([pa.array([name] * len(left_over)), pa.array([period] * len(left_over)), pa.array(left_over + (high << 16))], ["name", "period", "code"])
+                    yield pa.record_batch([pa.array([source] * len(left_over), pa.int32()), pa.array([period] * len(left_over), pa.int32()), pa.array(left_over + (high << 16))], ["source", "period", "code"])
 
     pairs = references.join(parents.withColumnRenamed("bits", "parent_bits"), ["period", "range"], "left")
-    return pairs.select("name", "period", "range", "bits", "parent_bits").mapInArrow(decode, "name string, period string, code bigint")
+    return pairs.select("source", "period", "range", "bits", "parent_bits").mapInArrow(decode, "source int, period int, code bigint")
 
 
 def _month(at: Column) -> Column:
@@ -180,36 +178,31 @@ def find_orphans(references: Sequence[References], parents: DataFrame, key: str,
     have any names.
     """
     records = None
-    for r in references:
+    for i, r in enumerate(references):
         if r.df.schema[r.key].dataType != parents.schema[key].dataType:
             raise TypeError(f"{r.name}.{r.key} and the parents' {key} differ in type")
         at = F.col(f"`{r.time}`")
         part = r.df.select(
-            F.lit(r.name).alias("name"), F.col(f"`{r.record}`").alias("record"), F.col(f"`{r.key}`").alias("key"), at.alias("time"), F.coalesce(F.date_format(at, "yyyy-MM"), F.lit(NO_PERIOD)).alias("period")
+            F.lit(i).alias("source"), F.col(f"`{r.record}`").alias("record"), F.col(f"`{r.key}`").alias("key"), at.alias("time"), F.coalesce(_month(at).cast("int"), F.lit(NO_PERIOD)).alias("period")
         ).filter("key IS NOT NULL")
         records = part if records is None else records.unionByName(part)
     spans = parents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{since}`").alias("since"), F.col(f"`{until}`").alias("until")).filter("key IS NOT NULL AND since IS NOT NULL").distinct()
 
-    referred = materialize(records.select("name", "period", "key").distinct())
+    referred = materialize(records.select("source", "period", "key").distinct())
     codes = dense_codes(referred.select("key").unionByName(spans.select("key")))
-    periods = []
-    for (name,) in referred.select("period").distinct().collect():  # one row a month
-        if re.fullmatch(r"\d{4}-\d\d", name):  # other periods get no parent bitmap: all their keys go to the exact check
-            month = int(name[:4]) * 12 + int(name[5:]) - 1
-            periods.append((name, month, month + 1))
+    periods = sorted(p for (p,) in referred.select("period").distinct().collect() if p != NO_PERIOD)  # one a month
     referring = reference_bitmaps(referred.join(codes, "key"))
     existing = _whole_months(spans).join(codes, "key").select("code", "since", "until")
-    left_over = materialize(surviving_codes(referring, parent_bitmaps(existing, sorted(periods))).join(codes, "code").select("name", "period", "key"))
+    left_over = materialize(surviving_codes(referring, parent_bitmaps(existing, periods)).join(codes, "code").select("source", "period", "key"))
 
     # within the bound, records are filtered by the survivors where they are read
     fits = fits_broadcast(left_over)
-    suspects = bounded_join(records, left_over, ["name", "period", "key"], ["record", "time"], "left_semi", written=True, fits=fits)
-    suspects = materialize(suspects.select("name", "period", "record", "key", "time").distinct())
+    suspects = bounded_join(records, left_over, ["source", "period", "key"], ["record", "time"], "left_semi", written=True, fits=fits)
+    suspects = materialize(suspects.select("source", "record", "key", "time").distinct())
     near = bounded_join(spans, left_over.select("key").distinct(), ["key"], ["since", "until"], "left_semi", fits=fits or None)
     orphans = _without_parent(suspects, near)
-    return orphans.select(
-        F.col("name").alias("table_name"), F.when(F.col("period") != NO_PERIOD, F.col("period")).alias("year_month"), F.col("record").alias("record_id")
-    ).distinct()
+    names = F.element_at(F.array(*(F.lit(r.name) for r in references)), F.col("source") + 1)
+    return orphans.select(names.alias("table_name"), F.date_format("time", "yyyy-MM").alias("year_month"), F.col("record").alias("record_id")).distinct()
 
 
 def _without_parent(records: DataFrame, spans: DataFrame) -> DataFrame:
