@@ -357,3 +357,7 @@ def test_command_line(files, capsys, spark):
     assert main([*args, "--explain"]) == 0 and "Left join" in capsys.readouterr().out
     assert main(["--sql", "SELECT 1 AS x FROM nowhere"]) == 1 and "nowhere" in capsys.readouterr().err
     assert main(["--register", "bad", "--sql", "SELECT 1 AS x FROM bad"]) == 1
+    typed = ["--input", str(files / "orders.csv"), "--table", "o", "--schema", "order_id BIGINT, customer_id STRING, amount DOUBLE", "--sql", "SELECT customer_id, order_id FROM o WHERE customer_id = '99'"]
+    assert main(typed, spark) == 0 and "| 99          | 4        |" in capsys.readouterr().out
+    assert main([*args, "--infer-rows", "0"], spark) == 0 and "Grace" in capsys.readouterr().out
+    assert main([*args, "--workers", "3"]) == 1 and "workers" in capsys.readouterr().err
