@@ -2,9 +2,9 @@
 
 Most go through the SQL front end; the others build relations. Float
 aggregates are rounded, since the order of summation is not fixed. Where a
-float column may hold NaN, its name comes after that of a key column: results
-are compared sorted by their columns in the order of names, and a sort has no
-place for NaN.
+float column may hold NaN, its name comes after that of a key column, so that
+a comparison that sorts rows by their columns in the order of names does not
+depend on how NaN is sorted.
 """
 
 from __future__ import annotations
