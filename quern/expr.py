@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from quern.errors import AmbiguousNameError, PlanningError, UnsupportedError
 from quern.functions import aggregates
-from quern.functions.arithmetic import arithmetic, lenient_cast, widened
-from quern.types import SPARK_TYPES, Kind, common_numeric, require_numeric
+from quern.functions.arithmetic import arithmetic, lenient_cast, unpushed, widened
+from quern.types import FLOATS, SPARK_TYPES, Kind, common_numeric, require_numeric
 
 COMPARISONS = {"=", "<>", "<", "<=", ">", ">="}
 LOGICAL = {"AND", "OR"}
@@ -330,6 +330,11 @@ class Scope:
             raise PlanningError(f"{kinds[0].value} and {kinds[1].value} can't be compared")
         else:
             a, b = widened(a, common), widened(b, common)
+        # a side of which NaN can make the comparison true
+        if kinds[0] in FLOATS and op in (">", ">=", "<>"):
+            a = unpushed(a)
+        if kinds[1] in FLOATS and op in ("<", "<=", "<>"):
+            b = unpushed(b)
         return _of({"=": a == b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op], Kind.BOOLEAN)
 
     def lower_aggregate(self, expr: Expr, summed: Collection[Expr] = ()) -> Typed:

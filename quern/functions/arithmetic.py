@@ -18,6 +18,15 @@ def widened(column: Column, kind: Kind) -> Column:
     return column.cast(SPARK_TYPES[kind])
 
 
+def unpushed(column: Column) -> Column:
+    """The same float in a form that no scan takes as a filter.
+
+    Parquet's statistics leave NaN out, so a scan that goes by them skips row
+    groups whose NaN, the largest value, would pass.
+    """
+    return column + F.lit(0.0).cast("float")
+
+
 def ieee_divide(n: Column, d: Column) -> Column:
     """Division of doubles that gives infinities and NaN where the divisor is zero, also under ANSI rules."""
     by_zero = F.when((n == 0) | F.isnan(n), float("nan")).when(n > 0, float("inf")).otherwise(float("-inf"))

@@ -39,7 +39,7 @@ _schemas: dict[tuple[str, int, int], T.StructType] = {}
 
 
 def read_parquet(spark: SparkSession, path: str | Path) -> DataFrame:
-    """Parquet; filters, columns and row groups are pruned by the scan. The schema of a file that has not changed is not read again."""
+    """Parquet; columns and, by filters that NaN can't pass, row groups are pruned by the scan. The schema of a file that has not changed is not read again."""
     known = None
     if os.path.isfile(path):
         state = os.stat(path)
