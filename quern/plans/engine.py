@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import GreaterThan
 
@@ -45,11 +45,25 @@ class _Lazy(Session):
 NUDGE = 1.3e-6
 
 
+def _round(value: Column, places: int) -> Column:
+    """Rounding as in the SQL: the scaled number's halves go away from zero; what overflows by scaling stays.
+
+    Spark's own round looks at the decimal digits, and so takes other ties.
+    """
+    scaled = value * 10.0**places
+    whole = F.rint(scaled)  # halves to even
+    rest = scaled - whole
+    whole = F.when((rest == 0.5) & (scaled > 0), whole + 1.0).when((rest == -0.5) & (scaled < 0), whole - 1.0).otherwise(whole)
+    found = whole / 10.0**places
+    return F.when(F.abs(found) < float("inf"), found).otherwise(value)
+
+
 def _rounded(df: DataFrame, places: int | None) -> DataFrame:
     if places is None:
         return df
     nudge = NUDGE if places < 6 else 0.0
-    return df.select(*(F.round(F.col(f"`{c}`") + nudge, places).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes))
+    moved = lambda column: column + nudge if nudge else column  # noqa: E731 (adding 0.0 would change -0.0)
+    return df.select(*(_round(moved(F.col(f"`{c}`")), places).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes))
 
 
 def _run(sql: str, places: int | None = None) -> Callable[[SparkSession, str], DataFrame]:

@@ -44,3 +44,16 @@ def test_comparisons_that_nan_passes(session, tmp_path):
     session.register_parquet("x", tmp_path / "x.parquet")
     for test, n in (("x > 5", 1), ("x >= 5.5", 1), ("5 < x", 1), ("5 <= x", 1), ("x <> 1", 1), ("1.0 <> x", 1), ("f > 5", 1), ("x < 5", 2), ("5 > x", 2), ("x = 1", 2)):
         assert session.execute_sql(f"SELECT COUNT(*) AS n FROM x WHERE {test}").rows() == [(n,)], test
+
+
+#: Numbers whose seventh decimal is a 5 in decimal digits, and above or below it as scaled doubles; also what scaling makes infinite.
+HALVES = [1116.9859745, 1031.7099895, 295.4580895, 266.8589575, -1116.9859745, 73.1293425, 133.6712715, 1e300, 1.7e308, math.inf, -math.inf, NAN, None, 2.5e-7, -0.0]
+
+
+@pytest.mark.parametrize("name", ["filter_or_null", "filter_sort_limit", "full_sort", "topk", "join_filter"])
+def test_rounding_takes_the_ties_of_the_sql(same, name):
+    same(name, HALVES)
+
+
+def test_rounding_of_a_product(same):
+    same("scan_filter_project", [50.00003875, 50.00007625, 50.00011375, 50.000177083333334, 50.000202916666666])
