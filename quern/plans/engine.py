@@ -141,9 +141,9 @@ _add("topk", "SELECT id, amount AS value FROM sales ORDER BY value DESC NULLS LA
 _add("topk_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 100")
 
 
-def _placed(name: str, sql: str, oracle: str) -> None:
+def _placed(name: str, sql: str, oracle: str, places: int | None = None) -> None:
     """A sorted query with each row's place in its output, so that comparing the rows compares the order."""
-    QUERIES[name] = lambda spark, sf_dir: numbered(_Lazy(spark, sf_dir).sql(sql).to_df(), "place")
+    QUERIES[name] = lambda spark, sf_dir: _rounded(numbered(_Lazy(spark, sf_dir).sql(sql).to_df(), "place"), places)
     SQL[name] = oracle
 
 
@@ -151,6 +151,7 @@ _placed(
     "sort_places",
     "SELECT id, loaded_at, amount AS value FROM sales ORDER BY value DESC, id, loaded_at",
     "SELECT id, loaded_at, round(amount, 6) AS value, row_number() OVER (ORDER BY amount DESC NULLS FIRST, id, loaded_at) - 1 AS place FROM sales",
+    6,
 )
 _placed(
     "sort_places_given",

@@ -57,3 +57,7 @@ def test_rounding_takes_the_ties_of_the_sql(same, name):
 
 def test_rounding_of_a_product(same):
     same("scan_filter_project", [50.00003875, 50.00007625, 50.00011375, 50.000177083333334, 50.000202916666666])
+
+
+def test_places_of_amounts_with_more_decimals(same):
+    same("sort_places", [*HALVES, 100.0000005, 100.0000015, 100.0000025])
