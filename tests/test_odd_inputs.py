@@ -61,3 +61,7 @@ def test_rounding_of_a_product(same):
 
 def test_places_of_amounts_with_more_decimals(same):
     same("sort_places", [*HALVES, 100.0000005, 100.0000015, 100.0000025])
+
+
+def test_only_means_are_nudged(same):
+    same("two_stage_aggregate", [10.004999, 30.5, 12.5, 70.004999, 11.004999])
